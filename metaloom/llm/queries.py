@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
 }
 
