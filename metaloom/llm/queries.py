@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets
+from . import bpe, secrets, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_substring_dedup": substring_dedup.OP9_SQL,
+}
