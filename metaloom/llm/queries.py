@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, secrets, substring_dedup
+from . import bpe, secrets, simhash, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_simhash": simhash.op3_simhash,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
