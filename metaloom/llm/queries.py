@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, secrets, simhash, substring_dedup
+from . import bpe, packing, secrets, simhash, spotsigs, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_simhash": simhash.op3_simhash,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 
