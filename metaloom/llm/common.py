@@ -80,6 +80,16 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive row ranges [a, b) of about ``most`` bytes each; a longer row is a range of its own."""
+    out, a, n = [], 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, side="right")) - 1)
+        out.append((a, min(b, n)))
+        a = min(b, n)
+    return out
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 

@@ -48,6 +48,8 @@ WINDOW = 20
 GRAM = 5
 #: Bytes of text that a bucket is to hold, about; sets the number of buckets.
 BUCKET_BYTES = 8 << 20
+#: Bytes of text that are cut into runs at a time; bounds a Python worker's memory.
+SLICE_BYTES = 8 << 20
 #: Most buckets: more would only make the rows between the stages small.
 MAX_BUCKETS = 1 << 16
 
@@ -235,7 +237,9 @@ def duplicate_stretches(docs: DataFrame, k: int = WINDOW, m: int = GRAM, bucket_
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).fill_null(_NULL_ID).to_numpy()
             data, offsets = common.string_buffers(batch.column(1))
-            rows = list(_map_runs(ids, data, offsets, buckets, k, m))
+            rows = []
+            for a, b in common.slices(offsets, SLICE_BYTES):
+                rows += _map_runs(ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets, k, m)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
     def judge(table: pa.Table) -> pa.Table:
