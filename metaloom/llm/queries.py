@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, secrets, simhash, spotsigs, substring_dedup
+from . import bpe, licenses, packing, secrets, simhash, spotsigs, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_simhash": simhash.op3_simhash,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_spotsigs": spotsigs.op8_spotsigs,
