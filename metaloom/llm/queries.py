@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, packing, secrets, simhash, spotsigs, substring_dedup
+from . import bpe, chat, licenses, packing, secrets, simhash, spotsigs, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op10_chat_format": chat.op10_chat_format,
     "op3_simhash": simhash.op3_simhash,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
@@ -16,4 +17,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op9_substring_dedup": substring_dedup.OP9_SQL,
+    "op10_chat_format": chat.OP10_SQL,
 }
