@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, packing, secrets, simhash, spotsigs, substring_dedup
+from . import bpe, chat, licenses, packing, quality, secrets, simhash, spotsigs, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
