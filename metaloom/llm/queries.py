@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, packing, quality, secrets, simhash, spotsigs, substring_dedup
+from . import bpe, chat, licenses, packing, quality, secrets, simhash, spotsigs, substring_dedup, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op10_chat_format": chat.op10_chat_format,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_best_fit_packing": packing.op5_best_fit_packing,

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, where: Column | None = None, balance: bool = False) -> list[tuple[str, int]]:
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int | dict[int, int], where: Column | None = None) -> list[tuple[str, int]]:
     """(text, label) of about ``most`` labelled documents, picked by a hash of doc_id, in order of doc_id.
 
-    ``where`` is a condition on ``doc_id``.  With ``balance`` each of the labels 0 and 1
-    gets up to half of ``most``.  Only the picked ids, at most that many, are broadcast,
+    ``where`` is a condition on ``doc_id``; ``most`` may be given for each label.  Only the picked ids, at most that many, are broadcast,
     so the texts of the others don't move.  Rows without a label or a text are left out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -20,12 +19,11 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, wh
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    share = most // 2 if balance else most
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     chance = F.lit(0.0)
     for value, n in counts.items():
-        size = n if balance else sum(counts.values())
-        chance = F.when(F.col("label") == value, F.lit(share / size)).otherwise(chance)
+        share = most[value] / n if isinstance(most, dict) else most / sum(counts.values())
+        chance = F.when(F.col("label") == value, F.lit(share)).otherwise(chance)
     picked = known.where(draw < chance).withColumnRenamed("doc_id", "picked_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
     rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).select("doc_id", "text", "label").collect()
