@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 20
-GRAM = 5
+GRAM = 3
 #: Bytes of text that a bucket is to hold, about; sets the number of buckets.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes of text that are cut into runs at a time; bounds a Python worker's memory.
 SLICE_BYTES = 8 << 20
 #: Most buckets: more would only make the rows between the stages small.
