@@ -2,7 +2,8 @@
 
 Every word (runs of digits, ASCII letters, lower-cased, and non-ASCII characters)
 has two inputs: an embedding of the word's hash bucket and the mean embedding of its
-character 3- and 4-grams.  A gated recurrent unit runs over a window of ``WINDOW``
+character 3-, 4- and 6-grams (in UTF-8 bytes); in learning, a word's own embedding is
+left out at times, so that its characters must tell.  A gated recurrent unit runs over a window of ``WINDOW``
 words in either direction; attention pools its states, and a logistic unit scores
 the window.  All windows, each overlapping the next by half, of the whole text are
 scored; a text's score is its highest window's.  Learnt here in numpy, by Adam on
@@ -42,6 +43,14 @@ WINDOW, STRIDE = 64, 32
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 16, 1 << 15
 SLICE_BYTES = 8 << 20
+#: Lengths of the character grams, in bytes with a mark on either side of the word.
+GRAMS = (3, 4, 6)
+#: Share of the distinct words whose own embedding is left out of a learning step.
+DROPPED = 0.4
+#: Batches that a network is fitted on.
+MOVES = 240
+#: Batches after which all windows are scored anew to choose those to learn from.
+RESCORED = 40
 #: Windows that advance together.
 TOGETHER = 4096
 
@@ -73,7 +82,7 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     flat[letter] = data[np.repeat(a, size)[letter] + inner[letter] - 1]
     word = np.repeat(np.arange(len(a)), size)
     buckets, owners = [], []
-    for n in (3, 4):
+    for n in GRAMS:
         if len(flat) < n:
             continue
         value = np.full(len(flat) - n + 1, n, np.uint64)
@@ -246,19 +255,31 @@ class Model:
         return score, counts
 
 
-def _log_odds(words: Words, labels: np.ndarray) -> np.ndarray:
-    """Of each distinct word, how much likelier it is in a toxic text than in a clean one."""
-    row = np.repeat(np.arange(len(labels)), np.diff(words.first))
-    pairs = np.unique(row * len(words.hashes) + words.ids)
-    word, toxic = pairs % len(words.hashes), labels[pairs // len(words.hashes)]
-    in_toxic = np.bincount(word[toxic == 1], minlength=len(words.hashes))
-    in_clean = np.bincount(word[toxic == 0], minlength=len(words.hashes))
+def _pairs(row: np.ndarray, item: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a row and one of its items."""
+    pairs = np.unique(row * size + item)
+    return pairs // size, pairs % size
+
+
+def _log_odds(row: np.ndarray, item: np.ndarray, size: int, labels: np.ndarray) -> np.ndarray:
+    """Of each item, how much likelier it is in a toxic text than in a clean one; rows and items are distinct pairs."""
+    toxic = labels[row]
+    in_toxic = np.bincount(item[toxic == 1], minlength=size)
+    in_clean = np.bincount(item[toxic == 0], minlength=size)
     share = lambda x, y: (x + 0.5) / (y.sum() + 1)
     odds = np.log(share(in_toxic, labels == 1) / share(in_clean, labels == 0))
     return np.where(in_toxic + in_clean >= 3, odds, 0.0)
 
 
-def fit(rows: list[tuple[str, int]], rate: float, epochs: int = 12, batch: int = 256, seed: int = 0) -> Model:
+def _grams_of(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gram buckets of the chosen distinct words, and of each the index of its word in ``chosen``."""
+    counts = np.diff(words.gram_first)[chosen]
+    owner = np.repeat(np.arange(len(chosen)), counts)
+    at = words.gram_first[chosen][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return words.gram_buckets[at], owner
+
+
+def fit(rows: list[tuple[str, int]], rate: float, total: int = MOVES, most_batch: int = 256, seed: int = 0) -> Model:
     """A model from (text, toxic) rows."""
     labels = np.array([y for _, y in rows])
     if len(set(labels.tolist())) < 2:
@@ -271,19 +292,26 @@ def fit(rows: list[tuple[str, int]], rate: float, epochs: int = 12, batch: int =
         return Model(None, rate)
     rng = np.random.default_rng(seed)
     net = Network(seed)
-    odds = _log_odds(words, labels)
+    distinct = len(words.hashes)
+    pair_row, pair_word = _pairs(np.repeat(np.arange(len(labels)), np.diff(words.first)), words.ids, distinct)
+    odds = _log_odds(pair_row, pair_word, distinct, labels)
+    grams, owner = _grams_of(words, pair_word)
+    char_odds = _log_odds(*_pairs(pair_row[owner], grams, CHAR_BUCKETS), CHAR_BUCKETS, labels)
     bucket = (words.hashes % np.uint64(WORD_BUCKETS)).astype(np.int64)
     net.p["word"][bucket] = rng.normal(0, 0.05, (len(bucket), WORD_DIM))
     net.p["word"][bucket, 0] = np.clip(odds, -3, 3)
     net.p["char"][:] = rng.normal(0, 0.05, net.p["char"].shape)
+    net.p["char"][:, 0] = np.clip(char_odds, -3, 3)
     sums = np.concatenate(([0.0], np.cumsum(np.maximum(odds[words.ids], 0))))
     scores = sums[begin + length] - sums[begin]
     positives, negatives = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    moves = 0
-    total = epochs * -(-4 * len(np.unique(row[positives])) // batch)
-    for epoch in range(epochs):
-        if epoch and epoch % 2 == 0:
+    # a small sample is learnt from in small batches, as many of them
+    batch = int(np.clip(len(np.unique(row[positives])), 32, most_batch))
+    moves, due = 0, RESCORED
+    while moves < total:
+        if moves >= due:
+            due += RESCORED
             scores = net.score_windows(words, begin, length)
         # each toxic text's best window, twice as many of the hardest clean ones, and as many of any
         best = positives[np.lexsort((-scores[positives], row[positives]))]
@@ -292,22 +320,26 @@ def fit(rows: list[tuple[str, int]], rate: float, epochs: int = 12, batch: int =
         chosen = np.concatenate((best, hardest, rng.choice(negatives, len(best))))
         rng.shuffle(chosen)
         for a in range(0, len(chosen), batch):
+            if moves == total:
+                break
             some = chosen[a : a + batch]
             some = some[np.argsort(-length[some], kind="stable")]
             moves += 1
-            _step(net, state, words, begin[some], length[some], label[some], moves, 0.01 * max(0.1, 1 - moves / max(1, total)))
+            _step(net, state, words, begin[some], length[some], label[some], rng, moves, 0.01 * max(0.1, 1 - moves / total))
     return Model(net, rate)
 
 
-def _step(net: Network, state: dict, words: Words, begin: np.ndarray, length: np.ndarray, label: np.ndarray, moves: int, speed: float) -> None:
+def _step(net: Network, state: dict, words: Words, begin: np.ndarray, length: np.ndarray, label: np.ndarray, rng: np.random.Generator, moves: int, speed: float) -> None:
     width = int(length[0])
     flat = words.ids[np.minimum(begin[:, None] + np.arange(width), len(words.ids) - 1)]
     used, at = np.unique(flat, return_inverse=True)
     at = at.reshape(flat.shape)
-    counts = np.diff(words.gram_first)[used]
-    grams = np.repeat(words.gram_first[used], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    some = Words(flat.ravel(), np.zeros(1), words.hashes[used], words.gram_buckets[grams], np.concatenate(([0], np.cumsum(counts))))
+    grams, owner = _grams_of(words, used)
+    counts = np.bincount(owner, minlength=len(used))
+    some = Words(flat.ravel(), np.zeros(1), words.hashes[used], grams, np.concatenate(([0], np.cumsum(counts))))
     x = net.inputs(some)
+    dropped = rng.random(len(used)) < DROPPED
+    x[dropped, :WORD_DIM] = 0
     keep: list = []
     out = net.forward(net.projections(x), at, length, keep)
     gradient, d_x = net.backward(x, at, length, keep, ((_sigmoid(out) - label) / len(label)).astype(_F))
@@ -318,7 +350,7 @@ def _step(net: Network, state: dict, words: Words, begin: np.ndarray, length: np
         v += 0.01 * (g * g - v)
         net.p[k] -= speed * (m / b1) / (np.sqrt(v / b2) + 1e-6)
     # the embeddings' rows that took part
-    owner = np.repeat(np.arange(len(used)), counts)
+    d_x[dropped, :WORD_DIM] = 0
     for k, bucket, g in (
         ("word", (some.hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), d_x[:, :WORD_DIM]),
         ("char", some.gram_buckets, d_x[owner, WORD_DIM:] / counts[owner, None].astype(_F)),
