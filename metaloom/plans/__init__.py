@@ -1,4 +1,9 @@
-"""Named end-to-end queries over the reference operators, with their SQL."""
+"""Named end-to-end queries over the metadata operators, with DuckDB SQL for the same rows.
+
+The tables of the driver hold no documents with metadata blocks, so queries render
+them from columns, extract them again and go on from there; the SQL works on the
+columns themselves.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .extraction import ORACLES as EXTRACTION_SQL
+from .extraction import QUERIES as EXTRACTION
+from .governance import ORACLES as GOVERNANCE_SQL
+from .governance import QUERIES as GOVERNANCE
+from .governance import flagship
+from .profiling import ORACLES as PROFILING_SQL
+from .profiling import QUERIES as PROFILING
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**EXTRACTION, **GOVERNANCE, **PROFILING}
+ORACLE_SQL: dict[str, str] = {**EXTRACTION_SQL, **GOVERNANCE_SQL, **PROFILING_SQL}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
