@@ -72,15 +72,20 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     data = common.lower_ascii(data)
     starts, ends, first = common.word_bounds(common.IS_ALNUM[data], offsets)
     hashes, at, ids = np.unique(common.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    # the distinct words, each between two marks
-    a, b = starts[at], ends[at]
-    size = b - a + 2
+    grams = [_char_grams(data, starts[at[i : i + 32768]], ends[at[i : i + 32768]]) for i in range(0, len(at), 32768)]
+    counts = np.concatenate([np.zeros(1, np.int64), *(c for _, c in grams)])
+    return Words(ids.astype(np.int32), first, hashes, np.concatenate([np.zeros(0, np.int32), *(g for g, _ in grams)]), np.cumsum(counts))
+
+
+def _char_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of the grams of words, word by word; grams of each word); a mark stands on either side of a word."""
+    size = ends - starts + 2
     begin = np.concatenate(([0], np.cumsum(size)))
+    word = np.repeat(np.arange(len(starts)), size)
+    inner = np.arange(begin[-1]) - begin[:-1][word]
+    letter = (inner > 0) & (inner < size[word] - 1)
     flat = np.zeros(begin[-1], np.uint64)
-    inner = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
-    letter = (inner > 0) & (inner < np.repeat(size, size) - 1)
-    flat[letter] = data[np.repeat(a, size)[letter] + inner[letter] - 1]
-    word = np.repeat(np.arange(len(a)), size)
+    flat[letter] = data[starts[word[letter]] + inner[letter] - 1]
     buckets, owners = [], []
     for n in GRAMS:
         if len(flat) < n:
@@ -91,10 +96,8 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
         inside = word[: len(value)] == word[n - 1 :]
         buckets.append((common.mix(value[inside]) % np.uint64(CHAR_BUCKETS)).astype(np.int32))
         owners.append(word[: len(value)][inside])
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    order = np.argsort(owner, kind="stable")
-    gram_first = np.searchsorted(owner[order], np.arange(len(a) + 1))
-    return Words(ids, first, hashes, (np.concatenate(buckets) if buckets else np.zeros(0, np.int32))[order], gram_first)
+    owner = np.concatenate(owners)
+    return np.concatenate(buckets)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(starts))
 
 
 def windows_of(first: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,16 +264,30 @@ def _pairs(row: np.ndarray, item: np.ndarray, size: int) -> tuple[np.ndarray, np
     return pairs // size, pairs % size
 
 
-def _log_odds(row: np.ndarray, item: np.ndarray, size: int, labels: np.ndarray) -> np.ndarray:
-    """Of each item, how much likelier it is in a toxic text than in a clean one; rows and items are distinct pairs."""
-    toxic = labels[row]
-    in_toxic = np.bincount(item[toxic == 1], minlength=size)
-    in_clean = np.bincount(item[toxic == 0], minlength=size)
-    share = lambda x, y: (x + 0.5) / (y.sum() + 1)
-    odds = np.log(share(in_toxic, labels == 1) / share(in_clean, labels == 0))
+def _odds(in_toxic: np.ndarray, in_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """How much likelier items are in a toxic text than in a clean one; 0 for those in fewer than 3 texts."""
+    odds = np.log((in_toxic + 0.5) / (toxic + 1)) - np.log((in_clean + 0.5) / (clean + 1))
     return np.where(in_toxic + in_clean >= 3, odds, 0.0)
 
 
+def _log_odds(words: Words, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The odds of the distinct words and of the buckets of character grams, over the texts that hold them."""
+    distinct = len(words.hashes)
+    by_word, by_gram = np.zeros((2, distinct)), np.zeros((2, CHAR_BUCKETS))
+    # some texts at a time: every word of a text has many grams
+    for a in range(0, len(labels), 64):
+        b = min(len(labels), a + 64)
+        row = np.repeat(np.arange(a, b), np.diff(words.first[a : b + 1]))
+        pair_row, word = _pairs(row, words.ids[words.first[a] : words.first[b]], distinct)
+        np.add.at(by_word, (labels[pair_row], word), 1)
+        grams, owner = _grams_of(words, word)
+        gram_row, gram = _pairs(pair_row[owner], grams, CHAR_BUCKETS)
+        np.add.at(by_gram, (labels[gram_row], gram), 1)
+    toxic = int((labels == 1).sum())
+    clean = len(labels) - toxic
+    return _odds(by_word[1], by_word[0], toxic, clean), _odds(by_gram[1], by_gram[0], toxic, clean)
+
+
 def _grams_of(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The gram buckets of the chosen distinct words, and of each the index of its word in ``chosen``."""
     counts = np.diff(words.gram_first)[chosen]
@@ -292,11 +309,7 @@ def fit(rows: list[tuple[str, int]], rate: float, total: int = MOVES, most_batch
         return Model(None, rate)
     rng = np.random.default_rng(seed)
     net = Network(seed)
-    distinct = len(words.hashes)
-    pair_row, pair_word = _pairs(np.repeat(np.arange(len(labels)), np.diff(words.first)), words.ids, distinct)
-    odds = _log_odds(pair_row, pair_word, distinct, labels)
-    grams, owner = _grams_of(words, pair_word)
-    char_odds = _log_odds(*_pairs(pair_row[owner], grams, CHAR_BUCKETS), CHAR_BUCKETS, labels)
+    odds, char_odds = _log_odds(words, labels)
     bucket = (words.hashes % np.uint64(WORD_BUCKETS)).astype(np.int64)
     net.p["word"][bucket] = rng.normal(0, 0.05, (len(bucket), WORD_DIM))
     net.p["word"][bucket, 0] = np.clip(odds, -3, 3)
