@@ -130,7 +130,7 @@ def read(path: str) -> dict[str, list[str]] | None:
     """The entries of a baseline file; None if there is no file."""
     try:
         with open(path, encoding="utf-8") as f:
-            return parse(f.read().removeprefix("﻿"))
+            return parse(f.read().removeprefix("\ufeff"))
     except FileNotFoundError:
         return None
 

@@ -53,7 +53,7 @@ def extract(documents: DataFrame, forced: str | None = None, extractors: dict[st
     ``on_error`` "column" puts a block that can't be read, or an unknown format, in
     ``error``; "raise" ends the run with it.
     """
-    rows = documents.select("file", F.coalesce("content", F.lit("")).alias("content"), format_of(F.col("file"), forced, extractors).alias("as"), *keep)
+    rows = documents.select("file", F.coalesce("content", F.lit("")).alias("_text"), format_of(F.col("file"), forced, extractors).alias("_as"), *keep)
     names = ("format", "present", "data_json", "lines", "cols", "error")
     kinds = (pa.string(), pa.bool_(), pa.string(), pa.map_(pa.string(), pa.int32()), pa.map_(pa.string(), pa.int32()), pa.string())
 

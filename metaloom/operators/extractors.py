@@ -343,7 +343,7 @@ def parse_xml(body: str) -> Element | None:
     def closed(name: str) -> None:
         element = stack.pop()
         at = char_at(parser.CurrentByteIndex)
-        if at >= element.tag_end and body.startswith("</", at):
+        if body[element.tag_end - 2] != "/" and body.startswith("</", at):
             element.end_start, element.end = at, tag_end(body, at)
         else:
             element.end_start = element.end = element.tag_end
