@@ -1,0 +1,260 @@
+"""Per-text operators against brute force: secrets, licences, quality, byte-level BPE."""
+
+import base64
+import bz2
+import gzip
+import hashlib
+import re
+from collections import Counter
+from urllib.parse import quote
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from metaloom.llm import bpe, common, licenses, quality, secrets
+
+SF = "/root/testdata/sf0.001"
+EDGE = [
+    (1, None), (2, ""), (3, " \t\n "), (4, "x" * 200_000), (5, "word " * 30_000), (6, "same text"), (6, "same text"), (None, "no id"), (7, "é漢\U0001f600 \x00\x1f a b"),
+]
+FIELDS = "doc_id long, text string, start int, spans string, row string"
+
+
+def edge(spark):
+    """Nulls, empty and long texts, repeated rows, and columns with names of the operators' own."""
+    return spark.createDataFrame([(i, t, 0, "x", "y") for i, t in EDGE], FIELDS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], FIELDS)
+
+
+INNER = 'password = "hunter2hunter2"'
+
+
+def b64(x):
+    return base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        quote(INNER, safe=""),
+        quote(quote(INNER, safe=""), safe=""),
+        b64(INNER),
+        b64(b64(b64(INNER))),
+        b64(gzip.compress(INNER.encode())),
+        b64(zstandard.compress(bz2.compress(INNER.encode()))),
+        quote(b64(gzip.compress(b64(INNER).encode())), safe=""),
+        "".join(f"\\u{ord(c):04x}" for c in INNER),
+        "".join(f"&#{ord(c)};" for c in INNER),
+        b64("".join(f"\\x{ord(c):02x}" for c in INNER)),
+    ],
+)
+def test_nested_encodings_are_unwrapped_and_mapped(wrapped):
+    text = f"ähm see {wrapped} end"
+    base, spans, layers, _ = secrets.scan_text(text)
+    found = [s for s in spans if s[0] == "decoded-assign"]
+    assert layers >= 1 and len(found) == 1 and set(base) <= set(spans)
+    _, a, b = found[0]
+    assert 8 <= a < b <= 8 + len(wrapped) and text[b:].endswith(" end")
+
+
+def test_cycles_and_bombs_end():
+    assert secrets.scan_text("%2525252525252525" * 50)[2] <= 40
+    bomb = b64(gzip.compress(b"a" * 5_000_000))
+    assert secrets.scan_text(bomb, max_expanded=1000)[3] == 1
+    assert secrets.scan_text("\\ud800 &#xD800; %ff " + b64(b"\xff\xfe\xfd" * 9))[1] == []
+
+
+def brute_base(text):
+    text = text or ""
+    out = []
+    for m in re.finditer(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    out += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return ",".join(x for *_, x in sorted(out))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "TOKEN", "apiKey", "api_key", "ſecret", "secret", ":", "=", " ", '"', "abcdef0123456789", "AKIA", "ABCDEFGH01234567", "x", "é", "%41", "\n", "-"]), max_size=12))
+def test_base_spans_equal_brute_force(parts):
+    text = "".join(parts)
+    assert secrets.render(secrets.base_spans(text)) == brute_base(text)
+
+
+def test_op1(spark):
+    got = secrets.op1_secret_scan(spark, SF).toPandas().set_index("doc_id")
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    for i, t in zip(docs.doc_id, docs.text):
+        want = brute_base(t)
+        row = got.loc[i]
+        assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [row.n_assign, row.n_access, row.n_hex] == [want.count(k) for k in ("assign:", "access:", "hex:")]
+        assert set(filter(None, want.split(","))) <= set(row.spans.split(","))
+
+
+def test_secrets_edges(spark):
+    assert secrets.scan(edge(spark)).count() == len(EDGE) and secrets.scan(empty(spark)).count() == 0
+    rows = spark.createDataFrame([(1, None, 0, "s", "r"), (2, f"a {INNER} b {b64(INNER)} c", 0, "s", "r")], FIELDS)
+    got = secrets.redact(rows)
+    assert got.columns == rows.columns and [r["text"] for r in got.orderBy("doc_id").collect()] == [None, 'a [SECRET]" b [SECRET]i c']  # the last quote's bits stay
+
+
+def brute_license(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    starts, labels = [], set()
+    for phrase, label in licenses.PHRASES:
+        k = phrase.split()
+        found = [i for i in range(len(words) - len(k) + 1) if words[i : i + len(k)] == k]
+        starts += found
+        labels |= {label} if found else set()
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels))
+
+
+def test_op4(spark):
+    got = licenses.op4_license_scan(spark, SF).toPandas().set_index("doc_id")
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    for i, t in zip(docs.doc_id, docs.text):
+        r = got.loc[i]
+        none = lambda x: None if pd.isna(x) else int(x)
+        assert (r.n_words, r.n_base, none(r.first_word), none(r.last_word), r.base_labels) == brute_license(t)
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["cc", "CC-BY", "by", "general", "public", "license", "All rights", "reserved", ".", "-", "é", "x", "\n"]), max_size=14).map(" ".join))
+def test_base_phrases_equal_brute_force(text):
+    scanner = licenses.Scanner(licenses.Index.build())
+    starts, base, labels, _ = scanner.scan(re.sub("[A-Z]", lambda m: m[0].lower(), text).encode())
+    _, n, low, high, want = brute_license(text)
+    assert (len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base))) == (n, low, high, want) and base <= labels
+
+
+@pytest.mark.parametrize("label,notice", [(t[0], t[1]) for t in licenses.TEMPLATES])
+def test_templates_are_found_with_small_changes(label, notice):
+    scanner = licenses.Scanner(licenses.Index.build())
+    words = notice.split()
+    text = "some words before " + " ".join([*words[:1], *words[1:]]) + " and after"
+    assert label in scanner.scan(text.encode())[2]
+    assert label not in scanner.scan(" ".join(reversed(words)).encode())[2] - {"cc-by"} or label == "cc-by"
+
+
+def test_license_edges(spark):
+    assert licenses.scan(edge(spark)).count() == len(EDGE) and licenses.scan(empty(spark)).count() == 0
+
+
+def brute_quality(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = list(zip(words, words[1:], words[2:]))
+    times = Counter(windows)
+    covered = {j for i, w in enumerate(windows) if times[w] > 1 for j in (i, i + 1, i + 2)}
+    seen, dups = set(), 0
+    for x in lines:
+        dups += x in seen
+        seen.add(x)
+    n = len(words)
+    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dups, len(covered), n < 50 or 100 * len(covered) > 50 * n
+
+
+def test_op6(spark):
+    sf = "/root/testdata/sf0.01"
+    got = quality.op6_quality_rules(spark, sf).toPandas().set_index("doc_id")
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    for i, t in zip(docs.doc_id, docs.text):
+        r = got.loc[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t)
+        assert not (r.base_failed and r.kept)
+    labels = pd.read_parquet(f"{sf}/labels.parquet").set_index("doc_id")
+    both = got.join(labels[["quality"]], how="inner")
+    judged = both[~both.base_failed]
+    assert ((judged.kept.astype(int)) == judged.quality).mean() > 0.95
+    assert judged[judged.quality == 1].kept.mean() > 0.98
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    field = quality.Field(rng.normal(size=len(quality.FEATURES)), rng.normal(size=(2, 2)), rng.normal(size=2))
+    sizes = [0, 1, 3, 6, 2]
+    x = rng.normal(size=(sum(sizes), len(quality.FEATURES)))
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    got = field.viterbi(quality.Lines(x, np.ones(len(x)), first))
+    for a, b in zip(first[:-1], first[1:]):
+        best, path = -np.inf, ()
+        for code in range(2 ** (b - a)):
+            y = [code >> i & 1 for i in range(b - a)]
+            score = sum(field.start[v] if i == 0 else field.transitions[y[i - 1], v] for i, v in enumerate(y)) + sum((x[a + i] @ field.weights) * v for i, v in enumerate(y))
+            if score > best:
+                best, path = score, tuple(y)
+        assert tuple(got[a:b]) == path
+
+
+def test_crf_learns():
+    rng = np.random.default_rng(1)
+    labels = rng.integers(0, 2, 60).tolist()
+    features = [rng.normal(size=(rng.integers(1, 9), len(quality.FEATURES))) + (2.0 if y else -2.0) * np.eye(len(quality.FEATURES))[3] for y in labels]
+    field = quality.fit(features, labels, steps=80)
+    assert field.weights[3] > 0.5 and field.transitions[0, 0] > field.transitions[0, 1]
+
+
+def test_quality_edges(spark):
+    field = quality.Field.all_content()
+    got = quality.judge(edge(spark), field).toPandas()
+    assert len(got) == len(EDGE) and quality.judge(empty(spark), field).count() == 0
+    assert quality.fit_labelled([]).weights[0] == 1.0
+
+
+def whole(text):
+    return bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "1", " ", "  ", "\n", "'", "'s", "'ll", "é", "漢", "!", "\t", "x9", "\U0001f600", "\xa0", "\x1c", "the", "<|endoftext|>"]), max_size=40).map("".join), st.integers(1, 8))
+def test_parts_encode_as_the_whole(text, size):
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bpe.encode_text(enc, text, size)
+    assert ids == whole(text) and bpe.decode_ids(enc, ids) == text.encode()
+    assert "".join(bpe.safe_parts(text, size)) == text
+
+
+def test_op7(spark):
+    got = bpe.op7_byte_bpe(spark, SF).toPandas().set_index("doc_id")
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    for i, t in zip(docs.doc_id, docs.text):
+        ids = whole(t or "")
+        r = got.loc[i]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_bpe_edges(spark):
+    got = bpe.round_trip_digests(edge(spark)).toPandas()
+    assert len(got) == len(EDGE) and bpe.round_trip_digests(empty(spark)).count() == 0
+    assert got[got.doc_id == 1].n_tokens.item() == 0
+    back = bpe.decode(bpe.encode(edge(spark))).toPandas()
+    assert sorted(bytes(b).decode() for b in back.bytes) == sorted(t or "" for _, t in EDGE)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=20), max_size=8))
+def test_word_kernels(texts):
+    import pyarrow as pa
+
+    data, offsets = common.string_buffers(pa.array(texts, pa.string()))
+    starts, ends, first = common.word_bounds(~common.IS_WHITE[data], offsets)
+    raw = data.tobytes()
+    words = [raw[a:b] for a, b in zip(starts, ends)]
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode()) for t in texts]
+    assert words == [w for ws in want for w in ws] and np.diff(first).tolist() == [len(w) for w in want]
+    hashes = common.word_hashes(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(set(words))
+
+
