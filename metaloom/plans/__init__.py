@@ -18,8 +18,10 @@ from .governance import QUERIES as GOVERNANCE
 from .governance import flagship
 from .profiling import ORACLES as PROFILING_SQL
 from .profiling import QUERIES as PROFILING
+from .reporting import ORACLES as REPORTING_SQL
+from .reporting import QUERIES as REPORTING
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**EXTRACTION, **GOVERNANCE, **PROFILING}
-ORACLE_SQL: dict[str, str] = {**EXTRACTION_SQL, **GOVERNANCE_SQL, **PROFILING_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**EXTRACTION, **GOVERNANCE, **PROFILING, **REPORTING}
+ORACLE_SQL: dict[str, str] = {**EXTRACTION_SQL, **GOVERNANCE_SQL, **PROFILING_SQL, **REPORTING_SQL}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
