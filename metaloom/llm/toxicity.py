@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +106,7 @@ def windows_of(first: np.ndarray, window: int = WINDOW, stride: int = STRIDE) ->
     n = np.diff(first)
     count = np.where(n == 0, 0, np.where(n <= window, 1, 1 + -(-(n - window) // stride)))
     row = np.repeat(np.arange(len(n)), count)
-    nth = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     begin = first[row] + nth * stride
     return row, begin, np.minimum(window, first[row + 1] - begin)
 
@@ -386,8 +387,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: tuple[int, int] = TRAI
     """A model from the labelled rows that aren't held out."""
     seen = labels.where(~held_out(F.col("doc_id").cast("long")) & F.col("toxic").isin(0, 1))
     rate = seen.agg(F.avg(F.col("toxic").cast("double")).alias("rate")).first()["rate"]
-    rows = samples.labelled_texts(docs, labels, "toxic", {1: train_docs[0], 0: train_docs[1]}, ~held_out(F.col("doc_id")))
-    return fit(rows, rate or 0.0)
+    rows = samples.labelled_rows(docs, labels, "toxic", {1: train_docs[0], 0: train_docs[1]}, ~held_out(F.col("doc_id")))
+    return samples.fit_on_executor(rows, partial(fit, rate=rate or 0.0))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
