@@ -84,7 +84,7 @@ def yaml_entry(key: str, value: Any, indent: int = 0) -> str:
 
 def merge_yaml(raw: str, patch: dict[str, Any]) -> str:
     """The block with keys set; comments, order, quoting and flow style of the rest stay."""
-    node = yamls.compose(raw)
+    node = yamls.compose(raw, exact=True)
     if node is not None and not isinstance(node, yaml.MappingNode):
         raise WriteError("the block is no mapping")
     if node is not None and node.flow_style and node.value:

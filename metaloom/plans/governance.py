@@ -93,7 +93,8 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = Registry(extra={"customer.json": CUSTOMER_CONTRACT})
     _, found = _checked(_customers(spark, sf_dir), S.Rules(cli=("customer.json",)), registry, ["customer.json"])
-    return B.with_fingerprints(found)
+    # read several times below: extracted and checked once
+    return B.with_fingerprints(found).persist()
 
 
 def _recorded(printed: DataFrame) -> DataFrame:
