@@ -54,10 +54,11 @@ from .components import connected_components
 
 RADIUS = 6
 BLOCKS = 4
-#: Most fingerprints that the shards' trees are fitted on (balance only).
-SAMPLE = 16384
+#: Fingerprints that the shards' trees are fitted on (balance only): so many, or
+#: ``SAMPLE_A_SHARD`` for each shard if that is more, up to ``MOST_SAMPLE`` (8 MB).
+SAMPLE, SAMPLE_A_SHARD, MOST_SAMPLE = 16384, 64, 1 << 20
 #: Fingerprints that a shard is to hold, about.
-SHARD = 65536
+SHARD = 16384
 #: Points that are compared directly.
 LEAF = 384
 
@@ -272,6 +273,7 @@ def class_links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
     n = classes.count()
     if n == 0:
         return classes.sparkSession.createDataFrame([], "node long, near long, root long")
+    sample = min(MOST_SAMPLE, max(sample, SAMPLE_A_SHARD * n // shard))
     some = classes.where(F.pmod(F.xxhash64("fp", F.lit("sample")), F.lit(n)) < sample).select("fp").toPandas()["fp"]
     points = np.sort(some.to_numpy(np.int64)).view(U64)
     most = max(64.0, shard * len(points) / n) if n > shard else math.inf
