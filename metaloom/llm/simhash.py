@@ -59,6 +59,8 @@ BLOCKS = 4
 SAMPLE, SAMPLE_A_SHARD, MOST_SAMPLE = 16384, 64, 1 << 20
 #: Fingerprints that a shard is to hold, about.
 SHARD = 16384
+#: Most tasks that shards are spread over.
+MOST_TASKS = 10_000
 #: Points that are compared directly.
 LEAF = 384
 
@@ -151,6 +153,10 @@ def grow(points: np.ndarray, mask: int, search: int, most: float) -> Node | int:
     return part(points)
 
 
+def leaf_count(tree: Node | int) -> int:
+    return 1 if isinstance(tree, int) else leaf_count(tree.inside) + leaf_count(tree.outside)
+
+
 def _split(d: np.ndarray, home: np.ndarray, radius: int, search: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(taken inside, home there, taken outside, home there) of points at distances ``d``."""
     inner = home & (d <= radius)
@@ -292,8 +298,10 @@ def class_links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
         found = shard_links(node, fp, size, home, masks, table.column("tree")[0].as_py(), radius, leaf)
         return pa.table(dict(zip(("node", "near", "root"), found)))
 
+    # a shard is few bytes and much work: as many tasks as shards, which a plan by bytes would join
+    tasks = min(MOST_TASKS, sum(map(leaf_count, trees)))
     sent = classes.select("fp", "node", "size").mapInArrow(send, "tree int, shard int, fp long, node long, size long, home boolean")
-    return sent.groupBy("tree", "shard").applyInArrow(link, "node long, near long, root long")
+    return sent.repartition(tasks, "tree", "shard").groupBy("tree", "shard").applyInArrow(link, "node long, near long, root long")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
