@@ -55,6 +55,13 @@ def prepare(spark: SparkSession, paths: list[str], cwd: str = ".", config: str |
     return Run(spark, cwd, settings, base, targets, documents, as_format)
 
 
+def _refuse_unknown(run: Run) -> None:
+    """A file of no known format ends the run before anything is read."""
+    labels = [f for f in run.targets.all if run.forced is None and os.path.splitext(f)[1].lower() not in by_extension()]
+    if labels:
+        raise files.InputError(f"no extractor for {labels[0]}")
+
+
 def registry_of(run: Run, offline: bool | None = None, cache_folder: str | None = None, aliases: dict[str, str] | None = None) -> Registry:
     hours = 24 if run.config.ttl_hours is None else run.config.ttl_hours
     cache = DiskCache(cache_folder, hours * 3600) if cache_folder else None
@@ -78,9 +85,7 @@ class Validation:
 def validate(run: Run, schemas: list[str] = (), registry: Registry | None = None, baseline: str | bool | None = None, write_baseline: bool = False) -> Validation:
     """Check every document; with a baseline only new violations fail."""
     registry = registry or registry_of(run)
-    unknown = run.documents.where(X.format_of(F.col("file"), run.forced).isNull()).select("file").first()
-    if unknown is not None:
-        raise files.InputError(f"no extractor for {unknown['file']}")
+    _refuse_unknown(run)
     rules = run.config.rules(run.cwd, list(schemas), tuple(registry.aliases))
     resolved = S.resolve(X.extract(run.documents, run.forced), rules).persist()
     found = V.violations(resolved, registry).persist()
@@ -119,6 +124,7 @@ def _counts(results: DataFrame, run: Run) -> dict[str, Any]:
 
 def get(run: Run, refs: list[str], form: str = "pretty", quiet: bool = False) -> Iterator[str]:
     """A block that can't be read ends the run."""
+    _refuse_unknown(run)
     got = G.get(X.extract(run.documents, run.forced, on_error="raise"), refs)
     rows = P.get_json_rows(got, refs) if form == "json" else P.get_rows(got, refs, quiet)
     return (r["line"] for r in rows.orderBy("file").toLocalIterator())
@@ -143,6 +149,7 @@ class Profile:
 
 
 def infer(run: Run, min_coverage: float = 0.0) -> Profile:
+    _refuse_unknown(run)
     extracted = X.extract(run.documents.withColumnRenamed("ord", "file_ord"), run.forced, keep=("file_ord",)).persist()
     totals = extracted.agg(F.count("*").alias("n"), F.count_if(~F.col("present") & F.col("error").isNull()).alias("bare")).first()
     bad = [(r["file"], r["error"]) for r in extracted.where("error IS NOT NULL").orderBy("file").toLocalIterator()]

@@ -26,6 +26,22 @@ def suggest(word: str) -> str | None:
     return near[0] if near else None
 
 
+def looks_like_path(token: str, cwd: str = ".") -> bool:
+    """Whether a word names a file rather than a field: it is there, is a glob, or has a separator and no leading slash."""
+    if os.path.exists(os.path.join(cwd, token)) or any(c in token for c in "*?[{"):
+        return True
+    return ("/" in token and not token.startswith("/")) or token == "-"
+
+
+def get_inputs(first: str | None, paths: list[str], fields: str | None, cwd: str = ".") -> tuple[list[str], list[str]]:
+    """(fields, paths) of ``get``: with a fields option all words are paths; otherwise the first is the fields."""
+    if fields is not None:
+        return split_list(fields), [*([first] if first else []), *paths]
+    if first is None or (not paths and looks_like_path(first, cwd)):
+        raise ValueError("get needs fields: give them first, or by --fields")
+    return split_list(first), paths
+
+
 def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--ext", type=split_list, default=None)
     p.add_argument("--as", dest="as_format", default=None)
@@ -50,8 +66,9 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--no-baseline", dest="baseline", action="store_false")
     v.add_argument("--write-baseline", action="store_true")
     g = verbs.add_parser("get")
-    g.add_argument("fields")
+    g.add_argument("first", nargs="?", metavar="fields")
     g.add_argument("paths", nargs="*")
+    g.add_argument("--fields", default=None)
     g.add_argument("--format", default="pretty", choices=("pretty", "json"))
     g.add_argument("--quiet", action="store_true")
     f = verbs.add_parser("fill")
@@ -60,6 +77,7 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--answers", required=True, help="JSON file of key to [value, confidence] for the local table provider")
     f.add_argument("--confidence", type=float, default=None)
     f.add_argument("--dry-run", action="store_true")
+    f.add_argument("--format", default="pretty", choices=("pretty", "json", "github"))
     s = verbs.add_parser("schemas")
     s.add_argument("action", nargs="?", default="list", choices=("list", "infer", "vendor"))
     s.add_argument("paths", nargs="*")
@@ -110,6 +128,9 @@ def _run(args: argparse.Namespace, spark, cwd: str, say) -> int:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("metaloom").getOrCreate()
+    refs: list[str] = []
+    if args.verb == "get":
+        refs, args.paths = get_inputs(args.first, args.paths, args.fields, cwd)
     stdin = sys.stdin.read() if "-" in args.paths else None
     run = api.prepare(spark, args.paths, cwd, args.config, args.ext, args.as_format, args.exclude, args.gitignore, args.allow_empty, stdin)
     color = use_color(args.color)
@@ -119,7 +140,7 @@ def _run(args: argparse.Namespace, spark, cwd: str, say) -> int:
             say(line)
         return done.exit_code
     if args.verb == "get":
-        for line in api.get(run, split_list(args.fields), args.format, args.quiet):
+        for line in api.get(run, refs, args.format, args.quiet):
             say(line)
         return 0
     if args.verb == "fill":
@@ -129,8 +150,12 @@ def _run(args: argparse.Namespace, spark, cwd: str, say) -> int:
         if not 0 <= threshold <= 1:
             raise ValueError("the confidence must be between 0 and 1")
         options = FI.Options(threshold, int(run.config.fill.get("chunkChars", FI.CHUNK_CHARS)))
-        _, counts = api.fill(run, FI.MockProvider(answers), args.schema, options=options, dry_run=args.dry_run)
-        say(json.dumps(counts))
+        filled, counts = api.fill(run, FI.MockProvider(answers), args.schema, options=options, dry_run=args.dry_run)
+        rows = {"pretty": FI.pretty_rows, "json": FI.json_rows, "github": FI.github_rows}[args.format](filled)
+        for row in rows.orderBy("file").toLocalIterator():
+            say(row["line"])
+        if args.format != "github":
+            say(json.dumps(counts))
         return FI.exit_code(counts)
     found = api.infer(run, args.min_coverage)
     if args.format == "json":

@@ -387,5 +387,24 @@ def github_rows(filled: DataFrame) -> DataFrame:
     return both.select("file", F.concat(F.lit("::error file="), command_property(F.col("file")), F.lit("::"), command_message(F.col("text"))).alias("line"))
 
 
+def pretty_rows(filled: DataFrame) -> DataFrame:
+    """file, line: what happened to each candidate of a document; documents without any only if they failed."""
+
+    def one(f):
+        value = F.coalesce(f["value"], F.lit("-"))
+        outcome = F.coalesce(F.concat(F.lit("skipped: "), f["reason"]), F.lit("written"))
+        return F.concat(F.lit("\n    /"), f["key"], F.lit("  "), value, F.lit("  "), F.format_string("%.2f", f["confidence"]), F.lit("  "), outcome)
+
+    mark = F.when(F.col("error").isNotNull(), "✗").when(F.col("changed"), "✎").otherwise("·")
+    problem = F.coalesce(F.concat(F.lit("  "), F.col("error")), F.lit(""))
+    rows = filled.where((F.size("fields") > 0) | F.col("error").isNotNull())
+    return rows.select("file", F.concat(mark, F.lit(" "), F.col("file"), problem, F.array_join(F.transform("fields", one), "")).alias("line"))
+
+
+def json_rows(filled: DataFrame) -> DataFrame:
+    """file, line: each document's fields as a JSON object."""
+    return filled.select("file", F.to_json(F.struct("file", "format", "fields", "changed", "error")).alias("line"))
+
+
 def exit_code(counts: dict[str, int]) -> int:
     return 1 if counts["required_skipped"] or counts["errors"] else 0

@@ -139,3 +139,22 @@ def resolve(extracted: DataFrame, rules: Rules) -> DataFrame:
 
 def is_published(ref: str, aliases: dict[str, str]) -> bool:
     return aliases.get(ref) in BUILTINS
+
+
+def classify_column(ref: Column) -> Column:
+    """``classify`` of a column of references."""
+    builtin = ref.rlike(r"^[\w-]+:[\w.-]+:[\w.-]+$") & ~ref.rlike(r"^[A-Za-z]:[\\/]")
+    return F.when(ref.rlike(r"(?i)^https?://"), F.lit("url")).when(builtin, F.lit("builtin")).otherwise("file")
+
+
+def host_allowed(ref: Column, hosts: list[str]) -> Column:
+    """Whether a URL's host, or host with port, is among the allowed ones, in any case."""
+    authority = F.lower(F.regexp_extract(ref, r"(?i)^https?://(?:[^/@]*@)?([^/?#]*)", 1))
+    name = F.regexp_replace(authority, r":\d+$", "")
+    allowed = [h.lower() for h in hosts]
+    return authority.isin(allowed) | name.isin(allowed)
+
+
+def refused_by_hosts(refs: DataFrame, hosts: list[str]) -> DataFrame:
+    """The URL references of (file, ref) rows whose host isn't allowed."""
+    return refs.where((classify_column(F.col("ref")) == "url") & ~host_allowed(F.col("ref"), hosts))

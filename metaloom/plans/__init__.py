@@ -20,8 +20,10 @@ from .profiling import ORACLES as PROFILING_SQL
 from .profiling import QUERIES as PROFILING
 from .reporting import ORACLES as REPORTING_SQL
 from .reporting import QUERIES as REPORTING
+from .scalars import ORACLES as SCALARS_SQL
+from .scalars import QUERIES as SCALARS
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**EXTRACTION, **GOVERNANCE, **PROFILING, **REPORTING}
-ORACLE_SQL: dict[str, str] = {**EXTRACTION_SQL, **GOVERNANCE_SQL, **PROFILING_SQL, **REPORTING_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**EXTRACTION, **GOVERNANCE, **PROFILING, **REPORTING, **SCALARS}
+ORACLE_SQL: dict[str, str] = {**EXTRACTION_SQL, **GOVERNANCE_SQL, **PROFILING_SQL, **REPORTING_SQL, **SCALARS_SQL}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

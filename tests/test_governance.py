@@ -198,3 +198,20 @@ def test_streaming_agrees(spark, tmp_path):
     query.stop()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(os.path.basename(r["file"]), r["keyword"], r["subject"]) for r in got] == [("b.md", "required", "type")]
+
+
+def test_field_or_path(tmp_path):
+    from metaloom.cli import get_inputs
+
+    (tmp_path / "docs").mkdir()
+    assert get_inputs("title,x", ["docs"], None, str(tmp_path)) == (["title", "x"], ["docs"])
+    assert get_inputs("docs", [], "title", str(tmp_path)) == (["title"], ["docs"])
+    for words in (("docs", []), (None, []), ("a/*.md", [])):
+        with pytest.raises(ValueError):
+            get_inputs(*words, None, str(tmp_path))
+
+
+def test_unknown_formats_end_the_run(spark, tmp_path):
+    (tmp_path / "a.bin").write_text("x")
+    for verb in (["validate", "a.bin"], ["get", "title", "a.bin"], ["schemas", "infer", "a.bin"]):
+        assert main(verb, spark, str(tmp_path)) == 2

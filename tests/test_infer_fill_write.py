@@ -144,9 +144,13 @@ def test_fill_command(spark, tmp_path, capsys):
     (tmp_path / "c.rst").write_text(":title: T\n")
     (tmp_path / "ans.json").write_text(json.dumps({"type": ["guide", 0.9], "action": ["sleep", 0.95], "resource": ["not a uri", 0.9], "timestamp": ["2024-01-01T00:00:00Z", 0.2]}))
     code = main(["fill", "a.md", "b.md", "c.rst", "--answers", "ans.json"], spark, str(tmp_path))
-    counts = json.loads(capsys.readouterr().out)
+    out = capsys.readouterr().out
+    counts = json.loads(out.splitlines()[-1])
     assert code == 1 and counts["changed"] == 1 and counts["errors"] >= 1
+    assert "✎ a.md" in out and '/type  "guide"  0.90  written' in out and "skipped: schema-mismatch" in out and "✗ c.rst" in out
     assert (tmp_path / "a.md").read_text() == "---\n# keep\ntitle: T\ntype: guide\n---\nbody\n"
+    main(["fill", "b.md", "c.rst", "--answers", "ans.json", "--format", "github"], spark, str(tmp_path))
+    assert "::error file=c.rst::" in capsys.readouterr().out
 
 
 def test_fill_turns_and_cache(spark, tmp_path):
