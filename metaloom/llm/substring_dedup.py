@@ -109,7 +109,7 @@ def _map_runs(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, buckets: i
     raw = data.tobytes()
     begin, end = starts[word].tolist(), ends[word + size + k - 2].tolist()
     doc, place, size, bucket = ids[row], place.astype(np.int64), size.astype(np.int64), bucket[order]
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=5)
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     known_doc, known_place, known_size = [], [], []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
