@@ -35,6 +35,8 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -224,6 +226,11 @@ def _settle_collisions(text, starts, ends, word, doc, start, order, ranked, k, d
             duplicate[i] = (doc[had], start[had]) != (doc[i], start[i])
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
 def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     size = docs.select(F.sum(F.octet_length(common.text_column(docs))).alias("n")).first()["n"] or 0
     return int(min(MAX_BUCKETS, max(1, -(-size // bucket_bytes))))
@@ -242,13 +249,17 @@ def duplicate_stretches(docs: DataFrame, k: int = WINDOW, m: int = GRAM, bucket_
                 rows += _map_runs(ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets, k, m)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
-    def judge(table: pa.Table) -> pa.Table:
-        doc, start, size = _duplicates(table.column("payload").to_pylist(), k)
-        ids = pa.array(doc, pa.int64(), mask=doc == _NULL_ID)
-        return pa.table({"doc_id": ids, "start": pa.array(start, pa.int64()), "windows": pa.array(size, pa.int64())})
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by bucket
+        for _, payloads in groupby(_rows(batches), key=itemgetter(0)):
+            doc, start, size = _duplicates([p for _, p in payloads], k)
+            ids = pa.array(doc, pa.int64(), mask=doc == _NULL_ID)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "start", "windows"])
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")).mapInArrow(pack, "bucket long, payload binary")
-    judged = packed.groupBy("bucket").applyInArrow(judge, "doc_id long, start long, windows long")
+    # a task for each bucket: hashing buckets to tasks would give some tasks several
+    placed = packed.repartitionById(buckets, (F.col("bucket") % buckets).cast("int")).sortWithinPartitions("bucket")
+    judged = placed.mapInArrow(judge, "doc_id long, start long, windows long")
     return judged.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("stretches"))
 
 
