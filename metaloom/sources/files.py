@@ -135,12 +135,14 @@ def read_folder(spark: SparkSession, path: str, ext: list[str], exclude: list[st
     """
     rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     label = F.regexp_replace(F.try_url_decode(F.col("path")), r"^file:/*", "/")
+    root = (path if "://" in path else os.path.abspath(path)).rstrip("/") + "/"
+    below = F.when(label.startswith(root), F.substr(label, F.lit(len(root) + 1))).otherwise(label)
     keep = F.lit(False)
     for e in _extensions(ext):
         keep = keep | F.lower("path").endswith(e)
     for g in (*IGNORED, *exclude):
-        keep = keep & ~label.rlike(glob_regex(g if g.startswith("**") else f"**/{g}"))
-    return rows.where(keep & ~label.rlike(r"/\.[^/]")).select(label.alias("file"), "content", F.lit(False).alias("named"), F.xxhash64("path").alias("ord"))
+        keep = keep & ~below.rlike(glob_regex(g))
+    return rows.where(keep & ~below.rlike(r"(^|/)\.[^/]")).select(label.alias("file"), "content", F.lit(False).alias("named"), F.xxhash64("path").alias("ord"))
 
 
 def standard_input(spark: SparkSession, content: str) -> DataFrame:
