@@ -41,6 +41,8 @@ from . import bpe, common
 
 CAPACITY = 1024
 END_ID = 2
+#: Documents whose pieces are held together in a Python worker.
+ROWS_TOGETHER = 1000
 
 
 @dataclass(frozen=True)
@@ -217,26 +219,29 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
         # a retried task has another name; only what one attempt wrote is ever read
         slice_id = uuid.uuid4().hex
         ranks = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            rows: list[tuple] = []
-            out_ids = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_ids(texts, tokenizer_file, rank_file)):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for nth, (start, length) in enumerate(cut(ids, capacity)):
-                    part = ids[start : start + length]
-                    rows.append((doc_id, nth, start, length, zlib.crc32(part.tobytes()), slice_id, int(ranks[length])))
-                    ranks[length] += 1
-                    if with_ids:
-                        out_ids.append(part.tolist())
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            if with_ids:
-                arrays.append(pa.array(out_ids, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, slice string, rank long" + ", ids array<long>" * with_ids
+        for whole in batches:
+            for a in range(0, len(whole), ROWS_TOGETHER):
+                batch = whole.slice(a, ROWS_TOGETHER)
+                rows: list[tuple] = []
+                out_ids: list[np.ndarray] = []
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode_ids(texts, tokenizer_file, rank_file)):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    for nth, (start, length) in enumerate(cut(ids, capacity)):
+                        part = ids[start : start + length]
+                        rows.append((doc_id, nth, start, length, zlib.crc32(part.tobytes()), slice_id, int(ranks[length])))
+                        ranks[length] += 1
+                        if with_ids:
+                            out_ids.append(part)
+                columns = list(zip(*rows)) or [()] * 7
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                if with_ids:
+                    flat = np.concatenate(out_ids).astype(np.int32) if out_ids else np.zeros(0, np.int32)
+                    arrays.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(x) for x in out_ids]))).astype(np.int32), flat))
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, slice string, rank long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
