@@ -3,7 +3,8 @@
 Every text is scanned as it stands (the *base* findings), then a worklist of
 layers is unwrapped: a layer whose URL escapes, Unicode or entity escapes, or
 base64 tokens (plain, or around gzip, zlib, bz2, xz or zstd data) can be decoded
-gives one child layer for each kind of wrapping.  A digest of every layer seen
+gives child layers for each kind of wrapping.  Bytes that aren't UTF-8 and characters
+that can't be printed are decoded too, one by one.  A digest of every layer seen
 breaks cycles and joins layers reached in different orders, so the worklist
 runs to a fixpoint.  Each character of a layer carries the slice of the original
 text that it came from; a finding in a layer is reported over the original slice.
@@ -78,47 +79,45 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|quot|amp|lt|gt|apos|colon|equals);")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 
-#: A replacement of [start, end) of a layer: the pieces of new text, each with its source slice.
-Piece = tuple[str, int, int]
+#: New text for a part of a layer, and for each of its characters the slice of the layer it stands for.
+Pieces = tuple[str, np.ndarray, np.ndarray]
 
 
-def _utf8_pieces(raw: bytes, at: int, step: int) -> list[Piece] | None:
-    """One piece a character, ``step`` source characters a byte; None if it isn't UTF-8."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    pieces = []
-    for c in text:
-        n = len(c.encode())
-        pieces.append((c, at, at + n * step))
-        at += n * step
-    return pieces
+def _decoded(raw: bytes) -> tuple[str, np.ndarray]:
+    """The text and the bytes before each character, and in all; a byte that isn't UTF-8 is a character of its own."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if len(text) == len(raw):
+        return text, np.arange(len(raw) + 1)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    width[(code >= 0xDC80) & (code < 0xDD00)] = 1
+    return text, np.concatenate(([0], np.cumsum(width)))
 
 
-def _unwrap_url(text: str, found: re.Match, stats: dict) -> list[Piece] | None:
-    return _utf8_pieces(bytes.fromhex(found[0].replace("%", "")), found.start(), 3)
+def _unwrap_url(text: str, found: re.Match, stats: dict) -> Pieces:
+    plain, byte = _decoded(bytes.fromhex(found[0].replace("%", "")))
+    at = found.start() + 3 * byte
+    return plain, at[:-1], at[1:]
 
 
-def _unwrap_escape(text: str, found: re.Match, stats: dict) -> list[Piece] | None:
+def _unwrap_escape(text: str, found: re.Match, stats: dict) -> Pieces | None:
     whole, at, to = found[0], found.start(), found.end()
     if whole.startswith("&"):
         got = html.unescape(whole)
-        return None if got == whole else [(got, at, to)]
+        return None if got == whole else (got, np.full(len(got), at), np.full(len(got), to))
     if whole.startswith("\\u") and whole[2] != "{":
         units = [int(whole[i + 2 : i + 6], 16) for i in range(0, len(whole), 6)]
-        pieces, i = [], 0
+        chars, cuts, i = [], [at], 0
         while i < len(units):
             u, n = units[i], 1
             if 0xD800 <= u < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1] < 0xE000:
                 u, n = 0x10000 + ((u - 0xD800) << 10) + units[i + 1] - 0xDC00, 2
-            if 0xD800 <= u < 0xE000:
-                return None
-            pieces.append((chr(u), at + 6 * i, at + 6 * (i + n)))
             i += n
-        return pieces
+            chars.append(chr(u))  # a lone surrogate too
+            cuts.append(at + 6 * i)
+        return "".join(chars), np.array(cuts[:-1]), np.array(cuts[1:])
     code = int(whole.strip("\\uUx{}"), 16)
-    return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), at, to)]
+    return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else (chr(code), np.array([at]), np.array([to]))
 
 
 def _zstd(raw: bytes, most: int) -> bytes:
@@ -150,15 +149,19 @@ def _expand(raw: bytes, stats: dict) -> bytes | None:
     return out
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+#: How sure it is that a base64 token was one.  Any longer word can be decoded to
+#: something: each grade has a layer with its tokens and those of the surer grades
+#: decoded, so that a word that is none is left alone in the layers before.
+PRINTABLE, UTF8, BYTES = range(3)
+
+
+def _grade(text: str) -> int:
+    if all(c.isprintable() or c in "\t\n\r" for c in text):
+        return PRINTABLE
+    return BYTES if any("\udc80" <= c <= "\udcff" for c in text) else UTF8
 
 
-def _unwrap_base64(text: str, found: re.Match, stats: dict) -> list[Piece] | None:
+def _unwrap_base64(text: str, found: re.Match, stats: dict) -> tuple[Pieces, int] | None:
     token = found[0]
     body = token.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
@@ -171,24 +174,19 @@ def _unwrap_base64(text: str, found: re.Match, stats: dict) -> list[Piece] | Non
     packed = False
     while (inner := _expand(raw, stats)) is not None:
         raw, packed = inner, True
-    if (plain := _readable(raw)) is None or not plain:
+    plain, byte = _decoded(raw)
+    if not plain:
         return None
     if packed:
-        return [(plain, at, to)]
-    pieces, byte = [], 0
-    for c in plain:
-        n = len(c.encode())
-        pieces.append((c, at + byte * 4 // 3, min(to, at + -(-(byte + n) * 4 // 3))))
-        byte += n
-    a, b, d = pieces[-1]
-    pieces[-1] = (a, b, max(d, to))
-    return pieces
+        return (plain, np.full(len(plain), at), np.full(len(plain), to)), PRINTABLE
+    ends = np.minimum(to, at - (-4 * byte[1:] // 3))
+    ends[-1] = to
+    return (plain, at + 4 * byte[:-1] // 3, ends), _grade(plain)
 
 
 _WRAPPINGS = (
     (lambda t: "%" in t, _URL, _unwrap_url),
     (lambda t: "\\" in t or "&" in t, _ESCAPE, _unwrap_escape),
-    (lambda t: True, _BASE64, _unwrap_base64),
 )
 
 
@@ -208,19 +206,22 @@ class Layer:
             return a, b
         return int(self.starts[a:b].min()), int(self.ends[a:b].max())
 
-    def replaced(self, edits: list[tuple[int, int, list[Piece]]]) -> Layer:
+    def replaced(self, edits: list[tuple[int, int, Pieces]]) -> Layer:
         n = len(self.text)
         own_a = np.arange(n, dtype=np.int64) if self.starts is None else self.starts
         own_b = np.arange(1, n + 1, dtype=np.int64) if self.ends is None else self.ends
         text, starts, ends, at = [], [], [], 0
-        for a, b, pieces in edits:
-            text.append(self.text[at:a])
+        for a, b, (new, x, y) in edits:
+            text += [self.text[at:a], new]
             starts.append(own_a[at:a])
             ends.append(own_b[at:a])
-            for new, x, y in pieces:
-                text.append(new)
-                starts.append(np.full(len(new), own_a[x:y].min(), np.int64))
-                ends.append(np.full(len(new), own_b[x:y].max(), np.int64))
+            if self.starts is None:
+                starts.append(x)
+                ends.append(y)
+            else:
+                cuts = np.stack((x, y), 1).ravel() - a
+                starts.append(np.minimum.reduceat(np.append(own_a[a:b], 0), cuts)[::2])
+                ends.append(np.maximum.reduceat(np.append(own_b[a:b], 0), cuts)[::2])
             at = b
         text.append(self.text[at:])
         starts.append(own_a[at:])
@@ -235,6 +236,9 @@ def children(layer: Layer, stats: dict) -> Iterator[Layer]:
         edits = [(m.start(), m.end(), got) for m in pattern.finditer(layer.text) if (got := unwrap(layer.text, m, stats)) is not None]
         if edits:
             yield layer.replaced(edits)
+    graded = [(m.start(), m.end(), *got) for m in _BASE64.finditer(layer.text) if (got := _unwrap_base64(layer.text, m, stats)) is not None]
+    for grade in sorted({e[3] for e in graded}):
+        yield layer.replaced([e[:3] for e in graded if e[3] <= grade])
 
 
 def scan_text(text: str | None, max_expanded: int = MAX_EXPANDED) -> tuple[list[Span], list[Span], int, int]:

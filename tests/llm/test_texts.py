@@ -65,6 +65,24 @@ def test_nested_encodings_are_unwrapped_and_mapped(wrapped):
     assert 8 <= a < b <= 8 + len(wrapped) and text[b:].endswith(" end")
 
 
+@pytest.mark.parametrize("odd", ["\xa0", "\u3000", "\u2009", "\xad", "\ufeff", "\U0001f468\u200d\U0001f469", "\f", "\x1b[0m", "\0", b"\xe9\xff"])
+def test_layers_of_odd_characters_are_scanned(odd):
+    odd = odd if isinstance(odd, bytes) else odd.encode()
+    raw = odd + b" caf\xc3\xa9 " + INNER.encode() + b" " + odd
+    for wrapped in (b64(raw), b64(gzip.compress(raw)), "".join(f"%{b:02x}" for b in raw), b64(b64(raw)), b64("".join(f"%{b:02x}" for b in raw))):
+        text = f"\xe4hm internationalization {wrapped} end"
+        found = [s for s in secrets.scan_text(text)[1] if s[0] == "decoded-assign"]
+        assert found and all(text.index(wrapped) <= a < b <= len(text) - 4 for _, a, b in found)
+        assert "[SECRET]" in secrets.redact_text(text, found)
+
+
+def test_lone_surrogates_and_plain_long_words():
+    text = "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in INNER)
+    assert [s for s in secrets.scan_text(text)[1] if s[0] == "decoded-assign"] == [("decoded-assign", 6, 6 * len(INNER))]
+    # a word that decodes to bytes stays itself beside a token that decodes to text
+    assert [s[0] for s in secrets.scan_text(b64("password        ") + ": averylongplainwordvalue")[1]] == ["decoded-assign"]
+
+
 def test_cycles_and_bombs_end():
     assert secrets.scan_text("%2525252525252525" * 50)[2] <= 40
     bomb = b64(gzip.compress(b"a" * 5_000_000))
