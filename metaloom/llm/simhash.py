@@ -5,7 +5,7 @@ seed 42; a bit is 1 if it is set in more than half of the hashes.  Fewer words
 than two: the whole sequence is the only shingle; no word: fingerprint zero.
 
 *Classes.* Equal fingerprints are one class, counted before anything is compared;
-its node is its smallest doc_id.  Copies are never expanded into pairs.
+its node is the fingerprint, as doc_ids may repeat or be null.  Copies are never expanded into pairs.
 
 *Forest.* All pairs of classes within ``radius`` bits are found exactly.  The 64
 bits are cut into ``blocks`` blocks; two fingerprints within 6 bits differ by at
@@ -32,8 +32,8 @@ in the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and link like others;
 repeated rows are counted as rows (``n_near`` counts the *other rows* linked
-directly); a null doc_id counts as the smallest id and is returned as null; an
-empty table gives no rows; other columns are ignored in ``near_duplicates`` and kept
+directly); a null doc_id counts as the smallest id and is returned as null; rows
+with null or equal doc_ids are linked by their texts alone; an empty table gives no rows; other columns are ignored in ``near_duplicates`` and kept
 in ``keep_representatives``.
 """
 
@@ -46,7 +46,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -64,7 +64,6 @@ MOST_TASKS = 10_000
 #: Points that are compared directly.
 LEAF = 384
 
-_NULL_ID = -(1 << 63)
 U64 = np.uint64
 
 
@@ -87,17 +86,18 @@ def _fingerprint(raw: bytes) -> np.uint64:
     return np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(U64)[0]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id (long), fp (long, the fingerprint's bits) of every row; no shuffle."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id (long), fp (long, the fingerprint's bits) and the columns ``more`` of every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.string_buffers(batch.column(1))
             raw, cuts = data.tobytes(), offsets.tolist()
             found = np.array([_fingerprint(raw[a:b]) for a, b in zip(cuts, cuts[1:])], U64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"), *more)
+    return taken.mapInArrow(run, ", ".join(("doc_id long, fp long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more))))
 
 
 @dataclass(frozen=True)
@@ -243,13 +243,13 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def shard_links(node: np.ndarray, fp: np.ndarray, size: np.ndarray, home: np.ndarray, masks: list[int], tree: int, radius: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, linked rows, smallest linked node here) of the points of a shard that have links."""
+def shard_links(fp: np.ndarray, size: np.ndarray, home: np.ndarray, masks: list[int], tree: int, radius: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, linked rows, smallest linked fingerprint here) of the points of a shard that have links."""
     search = radius // len(masks)
     rules = [*((m, search, False) for m in masks[:tree]), (masks[tree], search, True)]
-    order = np.argsort(node, kind="stable")
-    node, points, size, home = node[order], fp[order].view(U64), size[order], home[order]
-    near, label = np.zeros(len(node), np.int64), np.arange(len(node))
+    order = np.argsort(fp, kind="stable")
+    fp, size, home = fp[order], size[order], home[order]
+    points, near, label = fp.view(U64), np.zeros(len(fp), np.int64), np.arange(len(fp))
     free = ~masks[tree] & (1 << 64) - 1
     for a, b in find_pairs(points, home, masks[tree], search, radius, rules, free, leaf):
         np.add.at(near, a, size[b])
@@ -260,20 +260,20 @@ def shard_links(node: np.ndarray, fp: np.ndarray, size: np.ndarray, home: np.nda
             names, inverse = np.unique(np.concatenate((la[differ], lb[differ])), return_inverse=True)
             half = len(inverse) // 2
             to = names[_roots(len(names), inverse[:half], inverse[half:])]
-            renamed = np.arange(len(node))
+            renamed = np.arange(len(fp))
             renamed[names] = to
             label = renamed[label]
     at = np.flatnonzero(near)
-    return node[at], near[at], node[label[at]]
+    return fp[at], near[at], fp[label[at]]
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
-    """fp, node (smallest doc_id), size of every distinct fingerprint."""
-    return prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NULL_ID))).alias("node"), F.count("*").alias("size"))
+    """fp, no_id (a doc_id is null), least (smallest other doc_id), size of every distinct fingerprint."""
+    return prints.groupBy("fp").agg(F.bool_or(F.col("doc_id").isNull()).alias("no_id"), F.min("doc_id").alias("least"), F.count("*").alias("size"))
 
 
 def class_links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
-    """node, near (rows of other classes linked), root: a row for each shard in which a class has links."""
+    """node (fingerprint), near (rows of other classes linked), root: a row for each shard in which a class has links."""
     masks = block_masks((1 << 64) - 1, blocks)
     search = radius // blocks
     n = classes.count()
@@ -287,49 +287,62 @@ def class_links(classes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, node, size = (batch.column(i).to_numpy() for i in range(3))
+            fp, size = (batch.column(i).to_numpy() for i in range(2))
             for t, tree in enumerate(trees):
                 for shard_id, at, home in route(tree, fp.view(U64), masks[t], search):
-                    columns = [np.full(len(at), t, np.int32), np.full(len(at), shard_id, np.int32), fp[at], node[at], size[at], home]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tree", "shard", "fp", "node", "size", "home"])
+                    columns = [np.full(len(at), t, np.int32), np.full(len(at), shard_id, np.int32), fp[at], size[at], home]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tree", "shard", "fp", "size", "home"])
 
     def link(table: pa.Table) -> pa.Table:
-        fp, node, size, home = (table.column(c).to_numpy() for c in ("fp", "node", "size", "home"))
-        found = shard_links(node, fp, size, home, masks, table.column("tree")[0].as_py(), radius, leaf)
+        fp, size, home = (table.column(c).to_numpy() for c in ("fp", "size", "home"))
+        found = shard_links(fp, size, home, masks, table.column("tree")[0].as_py(), radius, leaf)
         return pa.table(dict(zip(("node", "near", "root"), found)))
 
     # a shard is few bytes and much work: as many tasks as shards, which a plan by bytes would join
     tasks = min(MOST_TASKS, sum(map(leaf_count, trees)))
-    sent = classes.select("fp", "node", "size").mapInArrow(send, "tree int, shard int, fp long, node long, size long, home boolean")
+    sent = classes.select("fp", "size").mapInArrow(send, "tree int, shard int, fp long, size long, home boolean")
     return sent.repartition(tasks, "tree", "shard").groupBy("tree", "shard").applyInArrow(link, "node long, near long, root long")
 
 
-def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, fp (long), n_near, component_id of every row."""
-    prints = common.materialize(fingerprints(docs), "fingerprints")
+def grouped_classes(prints: DataFrame, **options) -> DataFrame:
+    """fp, n_near, component (a fingerprint), component_id (its smallest doc_id) of every distinct fingerprint of ``prints``."""
     classes = common.materialize(classes_of(prints), "classes")
     links = common.materialize(class_links(classes, **options), "links")
-    near = links.groupBy("node").agg(F.sum("near").alias("near"))
+    near = links.groupBy(F.col("node").alias("fp")).agg(F.sum("near").alias("near"))
     edges = links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    groups = connected_components(edges)
-    known = (
-        classes.join(near, "node", "left")
-        .join(groups, "node", "left")
-        .select("fp", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), F.nullif(F.coalesce("component", "node"), F.lit(_NULL_ID)).alias("component_id"))
+    groups = connected_components(edges).withColumnRenamed("node", "fp")
+    ids = classes.join(groups, "fp").groupBy("component").agg(F.bool_or("no_id").alias("none"), F.min("least").alias("first"))
+    groups = groups.join(ids, "component")
+    return (
+        classes.join(near, "fp", "left")
+        .join(groups, "fp", "left")
+        .select(
+            "fp",
+            (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"),
+            F.coalesce("component", "fp").alias("component"),
+            F.when(~F.coalesce("none", "no_id"), F.coalesce("first", "least")).alias("component_id"),
+        )
     )
-    return prints.join(known, "fp").select("doc_id", "fp", "n_near", "component_id")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fp (long), n_near, component_id of every row."""
+    prints = common.materialize(fingerprints(docs), "fingerprints")
+    return prints.join(grouped_classes(prints, **options), "fp").select("doc_id", "fp", "n_near", "component_id")
 
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """One row of each group, that of the smallest doc_id, with all columns of ``docs``.
+    """One row of each group, that of the smallest doc_id and then of the least text, with all columns of ``docs``.
 
-    Rows that share a doc_id are one document, of which the row with the least text stays.
+    A row is known by its doc_id and text, so rows of other groups that share its doc_id,
+    or have none either, stay.  Copies are joined before they are moved.
     """
-    ids = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    kept = rows.join(ids, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(F.col("row.doc_id").cast("long")).orderBy(F.col("row.text")))
-    return kept.withColumn("nth", nth).where("nth = 1").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    key = F.concat(F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("none")), F.lit(" "), F.coalesce(F.md5(docs["text"]), F.lit("none")))
+    prints = common.materialize(fingerprints(docs.select("doc_id", "text", key.alias("key")), "key"), "fingerprints")
+    first = prints.join(grouped_classes(prints, **options), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component", "key").distinct()
+    rows = docs.select(key.alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row")).groupBy("key").agg(F.first("row").alias("row"))
+    kept = rows.join(first, "key").groupBy("component").agg(F.min_by("row", F.struct("row.text")).alias("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

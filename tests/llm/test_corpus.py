@@ -180,6 +180,20 @@ def test_near_edges(spark):
     assert kept.columns == table(spark, []).columns and sorted(i for i in ids if i is not None) == [1, 4, 5, 6] and ids.count(None) == 1
 
 
+def test_null_and_repeated_ids_are_told_apart_by_text(spark):
+    words = "amber birch cedar dune ember fjord grove heath inlet".split()
+    texts = [" ".join(words[i:] + [f"{w}{k}" for k in range(9)]) for i, w in enumerate(words)]
+    rows = [(None, t) for t in texts[:4]] + [(5, t) for t in texts[4:7]] + [(9, texts[0]), (9, texts[1]), (9, texts[7]), (None, texts[4]), (4, texts[6]), (None, texts[2])]
+    got = simhash.near_duplicates(table(spark, rows)).toPandas()
+    prints = np.array([brute_print(t) for _, t in rows], np.uint64)
+    near, group = brute_groups([-1 if i is None else i for i, _ in rows], prints.tolist())
+    want = sorted(zip([-1 if i is None else i for i, _ in rows], prints.view(np.int64).tolist(), near.tolist(), group.tolist()))
+    assert sorted(got.fillna(-1).astype({"doc_id": "int64", "component_id": "int64"}).itertuples(index=False, name=None)) == want
+    assert len(set(prints.tolist())) == 8 and near.tolist() == [1, 1, 1, 0, 1, 0, 1, 1, 1, 0, 1, 1, 1]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_representatives(table(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, t) for t in texts[:5]] + [(5, texts[5]), (4, texts[6]), (9, texts[7])], key=str)
+
+
 # -- substring dedup
 
 
