@@ -235,6 +235,8 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     if len(hashes) < 3:
         return np.zeros(len(counts), np.int64)
     at = np.flatnonzero(row[2:] == row[:-2])
+    if len(at) == 0:
+        return np.zeros(len(counts), np.int64)
     with np.errstate(over="ignore"):
         key = (hashes[at] * np.uint64(0x9E3779B97F4A7C15) + hashes[at + 1]) * np.uint64(0xD6E8FEB86659FD93) + hashes[at + 2]
         key = common.mix(key) ^ common.mix(row[at].astype(np.uint64) + np.uint64(1))

@@ -231,6 +231,12 @@ def test_quality_edges(spark):
     assert quality.fit_labelled([]).weights[0] == 1.0
 
 
+def test_a_table_of_two_word_texts(spark):
+    docs = spark.createDataFrame([(i, t, 0, "x", "y") for i, t in enumerate(["two words", "two words", "one", None, "two words"])], FIELDS).coalesce(1)
+    got = quality.judge(docs, quality.fit_labelled([])).orderBy("doc_id").toPandas()
+    assert got.n_words.tolist() == [2, 2, 1, 0, 2] and (got.n_repeat_words == 0).all()
+
+
 def whole(text):
     return bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary(text)
 
