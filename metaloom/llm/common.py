@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -25,8 +26,29 @@ IS_ALNUM[0x61:0x7B] = True
 IS_ALNUM[0x80:] = True
 
 
+#: Bytes of an Arrow batch: many more would only be held twice, by the JVM and by Python.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``, unless the session's are smaller yet; it has no setting for a single plan."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system, which it would keep for the next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table, spread over all cores if its files are too small to be split for them."""
+    bound_batches(spark)
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
@@ -56,6 +78,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     result be used twice without being computed twice.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

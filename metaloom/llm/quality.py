@@ -298,5 +298,5 @@ def _judged(data: np.ndarray, cuts: np.ndarray, field: Field, keep_share: float)
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
-    rows = samples.labelled_texts(docs, common.read_table(spark, sf_dir, "labels"), "quality", TRAIN_DOCS)
-    return judge(docs, fit_labelled(rows))
+    rows = samples.labelled_rows(docs, common.read_table(spark, sf_dir, "labels"), "quality", TRAIN_DOCS)
+    return judge(docs, samples.fit_on_executor(rows, fit_labelled))
