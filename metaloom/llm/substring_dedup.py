@@ -8,26 +8,33 @@ document and an earlier start) is removed.
    of its ``m``-word grams, its minimiser.  A maximal run of consecutive windows
    with one minimiser value is a super-k-mer.  Equal windows have equal
    minimisers, so they meet in the bucket ``minimiser mod buckets``; there a run
-   goes as one packed slice of the text.  All runs that a batch of documents has
-   for a bucket are one compressed row.  Runs equal to an earlier run of the same
-   batch are duplicates already: they aren't sent, only their places are, spread
-   over rows of their own, so that a passage that a third of all documents hold
-   reaches its bucket once a batch, not once a document.
+   goes as one packed slice of the text.  All runs that a slice of the corpus has
+   for a bucket are one row, its columns delta-coded and the whole compressed under a
+   dictionary of a few pieces of text (which makes small rows small and nothing
+   else).  Runs equal to an earlier run of the same slice are duplicates already:
+   they aren't sent, only their places are, spread over rows of their own, so that a
+   passage that a third of all documents hold reaches its bucket once a slice, not
+   once a document.
 2. *Bucket.* Windows are ordered by their hash, then document and start; equal
    hashes are compared word by word, so a collision can't remove a word.  All
-   windows of a group but its first start are duplicates.
+   windows of a group but its first start are duplicates.  A bucket of more than
+   ``most_bytes`` (a minimiser that very many different runs share) is cut anew, by
+   minimisers of longer grams, and judged in a further round; the last round's grams
+   are whole windows.
 3. *Apply.* The duplicate stretches meet their documents again by doc_id.
 
 The number of buckets follows the size of the input, so a bucket's memory
-doesn't.  The hashes route and order only; results are exact.
+doesn't; a task sorts its buckets and takes one after the other.  The hashes route
+and order only; results are exact.
 
 Defined results: null and empty texts have no words; a text of fewer than ``k``
-words keeps all; the rows of a repeated doc_id are one document's, and each is
-judged alike: rows with the same doc_id and the same text are the same windows
-and none of them removes the other's (the pair of doc_id and start is the same);
-if their texts differ, a window of one of them removes an equal window of another
-that starts later.  A null doc_id sorts before all others.  An empty table gives
-no rows.  Other columns pass ``apply_removals`` untouched, whatever their names.
+words keeps all.  Where doc_ids repeat, a document is a doc_id with a text: rows of
+both the same are the same windows, none removes the other's, and all lose what
+starts earlier elsewhere; documents with one doc_id and different texts come in order
+of the texts' MD5.  (Only then, rows carry 64 bits of that digest.)  A null doc_id
+sorts before all others.  An empty table gives no rows.  Very long texts are cut in
+runs like others, a slice of rows at a time.  Other columns pass ``apply_removals``
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,15 +55,47 @@ from . import common
 
 WINDOW = 20
 GRAM = 3
+#: Gram lengths of the rounds for buckets that are too large; at last whole windows.
+FINER_GRAMS = (8, 14)
 #: Bytes of text that a bucket is to hold, about; sets the number of buckets.
 BUCKET_BYTES = 4 << 20
+#: Bytes of packed runs beyond which a bucket is cut anew.
+MOST_BYTES = 64 << 20
 #: Bytes of text that are cut into runs at a time; bounds a Python worker's memory.
 SLICE_BYTES = 8 << 20
-#: Most buckets: more would only make the rows between the stages small.
-MAX_BUCKETS = 1 << 16
+#: Most tasks that the buckets are spread over.
+MOST_TASKS = 1 << 16
+#: Bytes of text that rows are compressed under.
+DICTIONARY = 1 << 16
+LEVEL = 6
 
 _NULL_ID = -(1 << 63)
-_HEAD = struct.Struct("<qq")
+_HEAD = struct.Struct("<qqi")
+
+
+class Packer:
+    """Rows of runs, or of places alone, as compressed bytes.
+
+    Columns are differences from run to run, byte plane by byte plane, so that what
+    they have in common takes no room.
+    """
+
+    def __init__(self, dictionary: bytes = b""):
+        known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(dictionary) > 8 else None
+        self._pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=known)
+        self._unpack = zstandard.ZstdDecompressor(dict_data=known)
+
+    def pack(self, columns: list[np.ndarray], text: bytes | None) -> bytes:
+        planes = [np.diff(c.view(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns]
+        head = _HEAD.pack(len(columns[0]), -1 if text is None else len(text), len(columns))
+        return self._pack.compress(head + b"".join(planes) + (text or b""))
+
+    def unpack(self, payload: bytes) -> tuple[list[np.ndarray], bytes | None]:
+        body = self._unpack.decompress(payload)
+        n, length, columns = _HEAD.unpack_from(body)
+        planes = np.frombuffer(body, np.uint8, columns * 8 * n, _HEAD.size).reshape(columns, 8, n)
+        found = [np.cumsum(np.ascontiguousarray(p.T).view(np.int64).ravel()) for p in planes]
+        return found, None if length < 0 else body[len(body) - length :]
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -98,22 +137,14 @@ def super_kmers(hashes: np.ndarray, first: np.ndarray, k: int, m: int) -> tuple[
     return row[at[begin]], at[begin], size, low[begin]
 
 
-def _map_runs(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, buckets: int, k: int, m: int) -> Iterator[tuple[int, bytes]]:
-    """Rows (bucket, payload) of a batch. Buckets of ``buckets`` and above hold places of known duplicates."""
-    starts, ends, first = common.word_bounds(~common.IS_WHITE[data], offsets)
-    hashes = common.word_hashes(data, starts, ends)
-    row, word, size, low = super_kmers(hashes, first, k, m)
-    if len(row) == 0:
-        return
-    place = word - first[row]
+def _pack_runs(keys: list[np.ndarray], raw: bytes, begin: np.ndarray, end: np.ndarray, place: np.ndarray, size: np.ndarray, low: np.ndarray, buckets: int, packer: Packer) -> Iterator[tuple[int, bytes]]:
+    """Rows (bucket, payload) of runs raw[begin:end], whose documents ``keys`` (one or two columns) tell apart."""
     bucket = (low % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((place, ids[row], bucket))
-    raw = data.tobytes()
-    begin, end = starts[word].tolist(), ends[word + size + k - 2].tolist()
-    doc, place, size, bucket = ids[row], place.astype(np.int64), size.astype(np.int64), bucket[order]
-    pack = zstandard.ZstdCompressor(level=5)
+    order = np.lexsort((place, *reversed(keys), bucket))
+    bucket = bucket[order]
+    begin, end = begin.tolist(), end.tolist()
     cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    known_doc, known_place, known_size = [], [], []
+    known, first = [], []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         slices: dict[bytes, int] = {}
         kept = []
@@ -122,46 +153,54 @@ def _map_runs(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, buckets: i
             had = slices.setdefault(piece, i)
             if had == i:
                 kept.append(i)
-            elif doc[had] != doc[i] or place[had] != place[i]:
-                known_doc.append(doc[i])
-                known_place.append(place[i])
-                known_size.append(size[i])
-        text = b"\n".join(slices)
+            else:
+                known.append(i)
+                first.append(had)
         head = np.array(kept)
-        body = _HEAD.pack(len(kept), len(text)) + doc[head].tobytes() + place[head].tobytes() + size[head].tobytes() + text
-        yield int(bucket[a]), pack.compress(body)
-    if known_doc:
-        columns = [np.array(x, np.int64) for x in (known_doc, known_place, known_size)]
-        body = _HEAD.pack(len(known_doc), -1) + b"".join(c.tobytes() for c in columns)
-        yield buckets + int(known_doc[0] ^ known_place[0]) % buckets, pack.compress(body)
-
-
-def _duplicates(payloads: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, windows) of the stretches of a bucket's windows that start earlier elsewhere."""
-    unpack = zstandard.ZstdDecompressor()
-    docs, places, sizes, texts = [], [], [], []
-    known = []
-    for payload in payloads:
-        body = unpack.decompress(payload)
-        n, length = _HEAD.unpack_from(body)
-        columns = np.frombuffer(body, np.int64, 3 * n, _HEAD.size).reshape(3, n)
-        if length < 0:
-            known.append(columns)
-            continue
-        docs.append(columns[0])
-        places.append(columns[1])
-        sizes.append(columns[2])
-        texts.append(body[len(body) - length :])
-    found = [tuple(np.concatenate([c[i] for c in known]) for i in range(3))] if known else []
-    if docs:
-        found.append(_bucket_duplicates(np.concatenate(docs), np.concatenate(places), np.concatenate(sizes), b"\n".join(texts), k))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+        yield int(bucket[a]), packer.pack([*(k[head] for k in keys), place[head], size[head]], b"\n".join(slices))
+    if known:
+        known, first = np.array(known), np.array(first)
+        # the same document's same place is no duplicate
+        known = known[np.any([c[known] != c[first] for c in (*keys, place)], axis=0)]
+        if len(known):
+            yield int((keys[0][known[0]] ^ place[known[0]]) % buckets), packer.pack([*(k[known] for k in keys), place[known], size[known]], None)
+
 
+def _map_runs(keys: list[np.ndarray], data: np.ndarray, offsets: np.ndarray, buckets: int, k: int, m: int, packer: Packer) -> Iterator[tuple[int, bytes]]:
+    """Rows (bucket, payload) of a slice of rows."""
+    starts, ends, first = common.word_bounds(~common.IS_WHITE[data], offsets)
+    hashes = common.word_hashes(data, starts, ends)
+    row, word, size, low = super_kmers(hashes, first, k, m)
+    if len(row):
+        yield from _pack_runs([c[row] for c in keys], data.tobytes(), starts[word], ends[word + size + k - 2], word - first[row], size, low, buckets, packer)
 
-def _bucket_duplicates(doc: np.ndarray, place: np.ndarray, size: np.ndarray, text: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _finer_runs(payload: bytes, k: int, m: int, packer: Packer) -> Iterator[tuple[int, bytes]]:
+    """The runs of a row cut anew, by minimisers of ``m`` words, for buckets without number."""
+    (*keys, place, size), text = packer.unpack(payload)
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = common.word_bounds(~common.IS_WHITE[data], np.array([0, len(data)]))
+    first = np.concatenate(([0], np.cumsum(size + k - 1)))
+    row, word, inner, low = super_kmers(common.word_hashes(data, starts, ends), first, k, m)
+    yield from _pack_runs([c[row] for c in keys], text, starts[word], ends[word + inner + k - 2], place[row] + word - first[row], inner, low, 1 << 62, packer)
+
+
+def _duplicates(payloads: list[bytes], k: int, packer: Packer) -> list[np.ndarray]:
+    """Columns (keys, start, windows) of the stretches of a bucket's windows that start earlier elsewhere."""
+    runs, texts, known = [], [], []
+    for payload in payloads:
+        columns, text = packer.unpack(payload)
+        (known if text is None else runs).append(columns)
+        if text is not None:
+            texts.append(text)
+    found = known
+    if runs:
+        *keys, place, size = (np.concatenate(c) for c in zip(*runs))
+        found = [*known, _bucket_duplicates(keys, place, size, b"\n".join(texts), k)]
+    return [np.concatenate(c) for c in zip(*found)]
+
+
+def _bucket_duplicates(keys: list[np.ndarray], place: np.ndarray, size: np.ndarray, text: bytes, k: int) -> list[np.ndarray]:
     data = np.frombuffer(text, np.uint8)
     starts, ends, _ = common.word_bounds(~common.IS_WHITE[data], np.array([0, len(data)]))
     hashes = common.word_hashes(data, starts, ends)
@@ -183,22 +222,21 @@ def _bucket_duplicates(doc: np.ndarray, place: np.ndarray, size: np.ndarray, tex
     shared = same | np.concatenate((same[1:], [False]))
     order, ranked = order[shared], ranked[shared]
     if len(order) == 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    fine = np.lexsort((start[order], doc[run[order]], ranked))
+        return [np.zeros(0, np.int64)] * (len(keys) + 2)
+    fine = np.lexsort((start[order], *(c[run[order]] for c in reversed(keys)), ranked))
     order, ranked = order[fine], ranked[fine]
     lead = np.maximum.accumulate(np.where(np.concatenate(([True], ranked[1:] != ranked[:-1])), np.arange(len(order)), 0))
     leader = order[lead]
     equal = _equal_windows(text, starts, ends, word[leader], word[order], k)
-    later = (doc[run[order]] != doc[run[leader]]) | (start[order] != start[leader])
+    later = np.any([*(c[run[order]] != c[run[leader]] for c in keys), start[order] != start[leader]], axis=0)
     duplicate = np.zeros(len(run), dtype=bool)
     duplicate[order[equal & later]] = True
     if not equal.all():
-        _settle_collisions(text, starts, ends, word, doc[run], start, order, ranked, k, duplicate)
+        _settle_collisions(text, starts, ends, word, [c[run] for c in keys], start, order, ranked, k, duplicate)
     at = np.flatnonzero(duplicate)
     new = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (run[at[1:]] != run[at[:-1]])))
     begin = np.flatnonzero(new)
-    return doc[run[at[begin]]], start[at[begin]], np.diff(np.append(begin, len(at)))
+    return [*(c[run[at[begin]]] for c in keys), start[at[begin]], np.diff(np.append(begin, len(at)))]
 
 
 def _window_words(text: bytes, starts: np.ndarray, ends: np.ndarray, word: int, k: int) -> tuple[bytes, ...]:
@@ -216,14 +254,14 @@ def _equal_windows(text: bytes, starts: np.ndarray, ends: np.ndarray, a: np.ndar
     return out
 
 
-def _settle_collisions(text, starts, ends, word, doc, start, order, ranked, k, duplicate) -> None:
+def _settle_collisions(text, starts, ends, word, keys, start, order, ranked, k, duplicate) -> None:
     """Judge the windows of hash groups with unequal members by their words alone."""
     cuts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
     for a, b in zip(cuts[:-1], cuts[1:]):
         first: dict[tuple[bytes, ...], int] = {}
         for i in order[a:b]:
             had = first.setdefault(_window_words(text, starts, ends, word[i], k), i)
-            duplicate[i] = (doc[had], start[had]) != (doc[i], start[i])
+            duplicate[i] = any(c[had] != c[i] for c in (*keys, start))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
@@ -231,36 +269,95 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
         yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
 
-def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
-    size = docs.select(F.sum(F.octet_length(common.text_column(docs))).alias("n")).first()["n"] or 0
-    return int(min(MAX_BUCKETS, max(1, -(-size // bucket_bytes))))
+def _survey(docs: DataFrame) -> tuple[int, bool]:
+    """(bytes of text, whether a doc_id repeats)."""
+    sizes = docs.select(F.col("doc_id").cast("long").alias("id"), F.octet_length("text").alias("n"))
+    each = sizes.groupBy("id").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    found = each.agg(F.sum("n").alias("n"), F.max("rows").alias("rows")).first()
+    return found["n"] or 0, (found["rows"] or 0) > 1
 
 
-def duplicate_stretches(docs: DataFrame, k: int = WINDOW, m: int = GRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, stretches (array of (start, windows)): the duplicate windows of every document that has any."""
-    buckets = bucket_count(docs, bucket_bytes)
+def _dictionary(docs: DataFrame) -> bytes:
+    """A few pieces of text, to compress rows under."""
+    rows = docs.select(F.substring("row.text", 1, 2048).alias("t")).where("t <> ''").limit(DICTIONARY // 1024).collect()
+    return "\n".join(r["t"] for r in rows).encode()[:DICTIONARY]
+
+
+def _keyed(docs: DataFrame, repeats: bool) -> DataFrame:
+    """id (never null), tag (what tells texts of one doc_id apart; null where no doc_id repeats), and ``docs`` as a struct ``row``."""
+    tag = F.conv(F.substring(F.md5(common.text_column(docs)), 1, 16), 16, -10).cast("long") if repeats else F.lit(None).cast("long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), tag.alias("tag"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def _stretches(keyed: DataFrame, size: int, repeats: bool, k: int, m: int, bucket_bytes: int, most_bytes: int) -> DataFrame:
+    """id, tag, stretches (array of (start, windows)): the duplicate windows of every document that has any."""
+    buckets = max(1, -(-size // bucket_bytes))
+    shared = keyed.sparkSession.sparkContext.broadcast(_dictionary(keyed))
+    names = ["id", "tag", "start", "windows"] if repeats else ["id", "start", "windows"]
+
+    def packed_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(shared.value)
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).fill_null(_NULL_ID).to_numpy()
-            data, offsets = common.string_buffers(batch.column(1))
-            rows = []
+            keys = [batch.column(0).to_numpy()]
+            if repeats:
+                # as the digest's order: without a sign
+                keys.append(batch.column(1).to_numpy() ^ np.int64(-1 << 63))
+            data, offsets = common.string_buffers(batch.column(2))
             for a, b in common.slices(offsets, SLICE_BYTES):
-                rows += _map_runs(ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets, k, m)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by bucket
-        for _, payloads in groupby(_rows(batches), key=itemgetter(0)):
-            doc, start, size = _duplicates([p for _, p in payloads], k)
-            ids = pa.array(doc, pa.int64(), mask=doc == _NULL_ID)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "start", "windows"])
-
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")).mapInArrow(pack, "bucket long, payload binary")
-    # a task for each bucket: hashing buckets to tasks would give some tasks several
-    placed = packed.repartitionById(buckets, (F.col("bucket") % buckets).cast("int")).sortWithinPartitions("bucket")
-    judged = placed.mapInArrow(judge, "doc_id long, start long, windows long")
-    return judged.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("stretches"))
+                yield packed_rows(list(_map_runs([c[a:b] for c in keys], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], buckets, k, m, packer)))
+
+    def judge(finer: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # rows come sorted by bucket
+            packer = Packer(shared.value)
+            for _, rows in groupby(_rows(batches), key=itemgetter(0)):
+                held, again, size = [], [], 0
+                for _, payload in rows:
+                    if finer is not None:
+                        size += zstandard.frame_content_size(payload)
+                    if size <= most_bytes:
+                        held.append(payload)
+                        continue
+                    # too large: places are places, runs go on to smaller buckets
+                    for other in [*held, payload]:
+                        if packer.unpack(other)[1] is None:
+                            yield result([other], packer)
+                        else:
+                            again += _finer_runs(other, k, finer, packer)
+                    held = []
+                    while again:
+                        yield pa.RecordBatch.from_arrays([*(pa.nulls(min(1000, len(again)), pa.int64()) for _ in names), *packed_rows(again[:1000]).columns], [*names, "bucket", "payload"])
+                        del again[:1000]
+                if held:
+                    yield result(held, packer)
+
+        return run
+
+    def result(payloads: list[bytes], packer: Packer) -> pa.RecordBatch:
+        columns = _duplicates(payloads, k, packer)
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], [*names, "bucket", "payload"])
+
+    packed = keyed.select("id", "tag", F.coalesce("row.text", F.lit("")).alias("text")).mapInArrow(pack, "bucket long, payload binary")
+    schema = ", ".join(f"{c} long" for c in names) + ", bucket long, payload binary"
+    tasks = min(MOST_TASKS, buckets)
+    judged: DataFrame | None = None
+    for finer in [*(g for g in FINER_GRAMS if m < g < k), k, None] if m < k else [None]:
+        # a task for each bucket while they are few: hashing buckets to tasks would give some tasks several
+        placed = packed.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
+        done = common.materialize(placed.mapInArrow(judge(finer), schema), "stretches")
+        found = done.where("payload is null").select(*names)
+        judged = found if judged is None else judged.unionAll(found)
+        packed = done.where("payload is not null").select("bucket", "payload")
+        if finer is None or packed.isEmpty():
+            break
+    tag = F.col("tag").bitwiseXOR(F.lit(_NULL_ID)) if repeats else F.lit(None).cast("long")
+    marks = judged.select("id", tag.alias("tag"), F.struct("start", "windows").alias("stretch"))
+    # copies of a row have the same stretches
+    return marks.groupBy("id", "tag").agg((F.collect_set if repeats else F.collect_list)("stretch").alias("stretches"))
 
 
 def kept_words(text: bytes, stretches, k: int) -> tuple[int, list[bytes]]:
@@ -269,19 +366,19 @@ def kept_words(text: bytes, stretches, k: int) -> tuple[int, list[bytes]]:
         return len(words), words
     gone = np.zeros(len(words) + 1, np.int32)
     for s in stretches:
-        # rows of one doc_id share their stretches; a shorter text has fewer words
-        a, b = s["start"], s["start"] + s["windows"] + k - 1
-        gone[min(a, len(words))] += 1
-        gone[min(b, len(words))] -= 1
+        gone[s["start"]] += 1
+        gone[s["start"] + s["windows"] + k - 1] -= 1
     keep = np.cumsum(gone[:-1]) == 0
     return len(words), [w for w, stays in zip(words, keep.tolist()) if stays]
 
 
-def _with_stretches(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as one struct column ``row``, with the duplicate stretches beside it."""
-    marks = duplicate_stretches(docs, **options).withColumnRenamed("doc_id", "mark_id")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return rows.join(marks, F.col("row.doc_id").cast("long").eqNullSafe(F.col("mark_id")), "left").select("row", "stretches")
+def _with_stretches(docs: DataFrame, k: int = WINDOW, m: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """text, stretches (its duplicate windows), and ``docs`` as one struct column ``row``."""
+    size, repeats = _survey(docs)
+    keyed = _keyed(docs, repeats)
+    marks = _stretches(keyed, size, repeats, k, m, bucket_bytes, most_bytes)
+    names = ["id", "tag"] if repeats else ["id"]
+    return keyed.join(marks.select(*names, "stretches"), names, "left").select(F.col("row.text").alias("text"), "stretches", "row")
 
 
 def apply_removals(docs: DataFrame, k: int = WINDOW, **options) -> DataFrame:
@@ -298,7 +395,7 @@ def apply_removals(docs: DataFrame, k: int = WINDOW, **options) -> DataFrame:
                 texts.append(text if len(words) == n else b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "row"])
 
-    rows = _with_stretches(docs, k=k, **options).select(F.col("row.text").alias("text"), "stretches", "row")
+    rows = _with_stretches(docs, k=k, **options)
     schema = rows.drop("stretches").schema
     done = rows.mapInArrow(cut, schema)
     return done.select(*[F.col("text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
@@ -321,7 +418,7 @@ def removal_digests(docs: DataFrame, k: int = WINDOW, **options) -> DataFrame:
             )
 
     slim = docs.select("doc_id", "text")
-    rows = _with_stretches(slim, k=k, **options).select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"), "stretches")
+    rows = _with_stretches(slim, k=k, **options).select(F.col("row.doc_id").cast("long").alias("doc_id"), "text", "stretches")
     return rows.mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -331,15 +428,16 @@ def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+  SELECT row_number() OVER () AS r, doc_id, md5(coalesce(text, '')) AS tag,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
 ),
-starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM words WHERE len(ws) >= 20),
-windows AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS seq FROM starts),
-later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY seq ORDER BY doc_id, s) AS nth FROM windows) WHERE nth > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later),
-each AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM words),
-marked AS (SELECT e.doc_id, e.p, e.w, g.p IS NOT NULL AS cut FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p),
-kept AS (SELECT doc_id, count(*) AS n, count(*) FILTER (cut) AS n_cut, string_agg(w, ' ' ORDER BY p) FILTER (NOT cut) AS t FROM marked GROUP BY doc_id)
+starts AS (SELECT r, doc_id, tag, ws, unnest(range(1, len(ws) - 18)) AS s FROM words WHERE len(ws) >= 20),
+windows AS (SELECT r, doc_id, tag, s, array_to_string(ws[s:s + 19], ' ') AS seq FROM starts),
+later AS (SELECT r, s FROM (SELECT r, s, rank() OVER (PARTITION BY seq ORDER BY doc_id NULLS FIRST, tag, s) AS nth FROM windows) WHERE nth > 1),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 20)) AS p FROM later),
+each AS (SELECT r, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM words),
+marked AS (SELECT e.r, e.p, e.w, g.p IS NOT NULL AS cut FROM each e LEFT JOIN gone g ON e.r = g.r AND e.p = g.p),
+kept AS (SELECT r, count(*) AS n, count(*) FILTER (cut) AS n_cut, string_agg(w, ' ' ORDER BY p) FILTER (NOT cut) AS t FROM marked GROUP BY r)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(n_cut, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+FROM words d LEFT JOIN kept k ON d.r = k.r
 """

@@ -1,8 +1,11 @@
 """Operators over the whole corpus against brute force: toxicity, near and substring dedup, packing, SpotSigs, chat, pipeline."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -19,6 +22,7 @@ import corpus_pipeline
 from metaloom.llm import chat, common, packing, simhash, spotsigs, substring_dedup, toxicity
 from metaloom.llm.components import connected_components
 
+ROOT = os.path.dirname(corpus_pipeline.__file__)
 SF = "/root/testdata/sf0.001"
 FIELDS = "doc_id long, text string, lang string, source string, n_chars long, mark_id long, size int, row string"
 EDGE = [(1, None), (2, ""), (3, " \t"), (4, "x" * 100_000), (5, "word " * 20_000), (6, "same text here"), (6, "same text here"), (7, "same text here"), (None, "no id"), (8, None)]
@@ -87,10 +91,56 @@ def test_op2_learns_and_holds_out(spark):
     assert test[test.toxic == 1].predicted.mean() > 0.85 and test[test.toxic == 0].predicted.mean() < 0.05
 
 
+def tiny_model():
+    return toxicity.fit([(f"good words here {i}", 0) for i in range(20)] + [(f"you vile scum {i}", 1) for i in range(20)], total=60)
+
+
+def test_toxicity_of_one_class_rejects_nothing(spark):
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(9)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(table(spark, [(i, f"vile scum {i}") for i in range(9)]), labels)
+    assert model.network is None and toxicity.drop_toxic(table(spark, EDGE), model).count() == len(EDGE)
+
+
+@given(st.integers(0, 2**32 - 1), st.integers(0, 900))
+@settings(max_examples=60, deadline=None)
+def test_long_texts_are_scored_as_whole_ones(seed, n):
+    rng = np.random.default_rng(seed)
+    parts = ["vile", "good", "scum", "é", " ", "  .  ", "\n", "x" * 70, " " * 300, "here "]
+    text = "".join(parts[i] for i in rng.integers(0, len(parts), n)).encode()
+    model, data, cuts = tiny_network(), np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    (whole,), (count,) = model.score(data, cuts)
+    for size in (16, 700, 2048):
+        (score,), (windows,) = model.score(data, cuts, size)
+        assert windows == count and abs(score - whole) < 1e-6
+
+
+def tiny_network():
+    if not _TINY:
+        _TINY.append(tiny_model())
+    return _TINY[0]
+
+
+_TINY: list = []
+
+
+def test_a_text_of_40_mb_is_scored_in_1_gb():
+    code = """
+import resource, numpy as np
+from metaloom.llm import toxicity
+text = np.frombuffer(b" ".join(b"w%d" % (i * 7919 % 3000017) for i in range(5_000_000)), np.uint8)
+assert len(text) > 40_000_000
+score, windows = toxicity.Model(toxicity.Network()).score(text, np.array([0, len(text)]))
+assert windows[0] == 156249, windows
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT, env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert int(done.stdout) < 1000
+
+
 def test_toxicity_edges(spark):
-    model = toxicity.fit([(f"good words here {i}", 0) for i in range(20)] + [(f"you vile scum {i}", 1) for i in range(20)], 0.25, total=60)
+    model = tiny_model()
     got = toxicity.score(table(spark, EDGE), model).toPandas()
-    assert len(got) == len(EDGE) and (got[got.doc_id.isin([1, 2, 3, 8])].score == 0.25).all()
+    assert len(got) == len(EDGE) and (got[got.doc_id.isin([1, 2, 3, 8])].score == 0).all()
     assert not got[got.doc_id.isna()].held_out.any()
     assert toxicity.score(table(spark, []), model).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -224,14 +274,14 @@ def test_windows_of_few_words(texts, buckets):
     """The map and bucket kernels alone, small windows, two batches."""
     k, m = 4, 2
     rows = [(i, " \n".join(t)) for i, t in enumerate(texts)]
-    by_bucket = {}
+    by_bucket, packer = {}, substring_dedup.Packer(b"a b c a b c")
     for part in (rows[::2], rows[1::2]):
         data, offsets = common.string_buffers(pa.array([t for _, t in part], pa.string()))
-        for bucket, payload in substring_dedup._map_runs(np.array([i for i, _ in part], np.int64), data, offsets, buckets, k, m):
+        for bucket, payload in substring_dedup._map_runs([np.array([i for i, _ in part], np.int64)], data, offsets, buckets, k, m, packer):
             by_bucket.setdefault(bucket, []).append(payload)
     stretches = {i: [] for i, _ in rows}
     for payloads in by_bucket.values():
-        for doc, start, size in zip(*substring_dedup._duplicates(payloads, k)):
+        for doc, start, size in zip(*substring_dedup._duplicates(payloads, k, packer)):
             stretches[int(doc)].append({"start": int(start), "windows": int(size)})
     got = {}
     for i, t in rows:
@@ -246,11 +296,11 @@ def test_hash_collisions_remove_nothing(monkeypatch):
     rows = [(i, " ".join(rng.choice("abcdef") for _ in range(30))) for i in range(12)]
     data, offsets = common.string_buffers(pa.array([t for _, t in rows], pa.string()))
     stretches = {i: [] for i, _ in rows}
-    payloads = {}
-    for bucket, payload in substring_dedup._map_runs(np.arange(12), data, offsets, 2, 4, 2):
+    payloads, packer = {}, substring_dedup.Packer()
+    for bucket, payload in substring_dedup._map_runs([np.arange(12)], data, offsets, 2, 4, 2, packer):
         payloads.setdefault(bucket, []).append(payload)
     for p in payloads.values():
-        for doc, start, size in zip(*substring_dedup._duplicates(p, 4)):
+        for doc, start, size in zip(*substring_dedup._duplicates(p, 4, packer)):
             stretches[int(doc)].append({"start": int(start), "windows": int(size)})
     want = brute_removed(rows, 4)
     for i, t in rows:
@@ -258,6 +308,53 @@ def test_hash_collisions_remove_nothing(monkeypatch):
         assert (n, n - len(kept)) == want[i][:2]
 
 
+def brute_rows(rows, k):
+    """(words, removed, digest) of every row, where doc_ids may be null and repeat."""
+    found = [(-1 if i is None else i, hashlib.md5((t or "").encode()).digest(), re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    least = {}
+    for i, tag, words in found:
+        for s in range(len(words) - k + 1):
+            window = tuple(words[s : s + k])
+            least[window] = min(least.get(window, (i, tag, s)), (i, tag, s))
+    out = []
+    for (i, _), (key, tag, words) in zip(rows, found):
+        gone = {j for s in range(len(words) - k + 1) if least[tuple(words[s : s + k])] != (key, tag, s) for j in range(s, s + k)}
+        out.append((i, len(words), len(gone), hashlib.sha256(" ".join(w for j, w in enumerate(words) if j not in gone).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def repeated_ids():
+    rng = random.Random(3)
+    passages = [" ".join(f"{c}{i}" for i in range(30)) for c in "pqr"]
+    texts = [" ".join(rng.choice(passages) if rng.random() < 0.5 else f"u{rng.randrange(40)}" for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    return [(rng.choice([None, None, 1, 7, 7, 8, 9]), t) for t in texts] + [(1, passages[0]), (7, passages[0]), (7, "only " + passages[1]), (None, None), (None, "")]
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 500}, {"most_bytes": 200}, {"bucket_bytes": 1 << 20, "most_bytes": 2000}])
+def test_repeated_and_null_ids_and_large_buckets(spark, options):
+    rows = repeated_ids()
+    got = substring_dedup.removal_digests(table(spark, rows), **options).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_rows(rows, 20)
+    plain = list(enumerate(t for _, t in rows))
+    got = substring_dedup.removal_digests(table(spark, plain), **options).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_rows(plain, 20)
+
+
+def test_sql_of_repeated_and_null_ids():
+    import duckdb
+
+    rows = repeated_ids()
+    documents = pd.DataFrame({"doc_id": pd.array([i for i, _ in rows], "Int64"), "text": [t for _, t in rows]})  # noqa: F841
+    assert sorted(duckdb.sql(substring_dedup.OP9_SQL).fetchall(), key=str) == brute_rows(rows, 20)
+
+
+def test_unique_texts_survive_the_pipeline_stages(spark):
+    cc, dd = (" ".join(f"{c}{i}" for i in range(40)) for c in "cd")
+    docs = table(spark, [(1, cc), (7, cc), (7, dd), (None, dd + " more"), (None, "another text"), (None, cc)])
+    left = [(r["doc_id"], r["text"]) for r in substring_dedup.apply_removals(docs).collect()]
+    assert sorted(left, key=str) == sorted([(1, ""), (7, ""), (7, ""), (None, dd + " more"), (None, "another text"), (None, cc)], key=str)
+
+
 def test_substring_edges(spark):
     passage = " ".join(f"w{i}" for i in range(30))
     rows = [*EDGE, (20, passage), (21, "lead " + passage + " tail"), (22, passage.replace(" ", "\n "))]
