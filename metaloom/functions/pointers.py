@@ -50,4 +50,4 @@ def look_up_column(places: Column, pointer: Column) -> Column:
     """``look_up`` over a map column of positions."""
     depth = F.size(F.split(pointer, "/"))
     tries = F.transform(F.sequence(depth, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(F.split(pointer, "/"), F.lit(1), n), "/"))
-    return F.element_at(F.filter(F.transform(tries, lambda p: F.try_element_at(places, p)), lambda x: x.isNotNull()), 1)
+    return F.try_element_at(F.filter(F.transform(tries, lambda p: F.try_element_at(places, p)), lambda x: x.isNotNull()), F.lit(1))

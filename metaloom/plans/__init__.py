@@ -22,10 +22,12 @@ from .reporting import ORACLES as REPORTING_SQL
 from .reporting import QUERIES as REPORTING
 from .scalars import ORACLES as SCALARS_SQL
 from .scalars import QUERIES as SCALARS
+from .shapes import ORACLES as SHAPES_SQL
+from .shapes import QUERIES as SHAPES
 from .vocabulary import ORACLES as VOCABULARY_SQL
 from .vocabulary import QUERIES as VOCABULARY
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**EXTRACTION, **GOVERNANCE, **PROFILING, **REPORTING, **SCALARS, **VOCABULARY}
-ORACLE_SQL: dict[str, str] = {**EXTRACTION_SQL, **GOVERNANCE_SQL, **PROFILING_SQL, **REPORTING_SQL, **SCALARS_SQL, **VOCABULARY_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**EXTRACTION, **GOVERNANCE, **PROFILING, **REPORTING, **SCALARS, **SHAPES, **VOCABULARY}
+ORACLE_SQL: dict[str, str] = {**EXTRACTION_SQL, **GOVERNANCE_SQL, **PROFILING_SQL, **REPORTING_SQL, **SCALARS_SQL, **SHAPES_SQL, **VOCABULARY_SQL}
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
