@@ -19,7 +19,8 @@ may be shorter; full pieces are sequences by themselves.
 
 Defined results: a null text is empty and has the end id alone; repeated rows are
 packed as rows of their own; a null doc_id stays null; an empty table gives no
-rows; other columns are ignored, whatever their names.
+rows; a very long text is encoded in parts and cut in pieces; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,15 +51,17 @@ class Limits:
     """Capacities of a sequence, and how the bins that fit are scored.
 
     ``rule`` is "norm" (least weighted norm of the residual left) or "dot" (greatest
-    weighted dot product of demand and residual).  The default document and cost
-    capacities follow from the token capacity: no sequence of at most that many
-    tokens exceeds them, so they bind only if they are set lower.
+    weighted dot product of demand and residual), in shares of the capacities.  The
+    default document and cost capacities are the least that allow every sequence of at
+    most ``tokens`` tokens, so they refuse none; through the norm they choose all the
+    same: of the bins that fit, one whose tokens, documents and attention are all
+    nearly used up goes before one that is full of tokens alone.
     """
 
     tokens: int = CAPACITY
     documents: int = CAPACITY
     cost: int = CAPACITY * CAPACITY
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
     def fits(self, length: int, residual: tuple[int, int, int]) -> int:
@@ -177,21 +180,23 @@ def plan(histogram: dict[int, int], limits: Limits = Limits()) -> Plan:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def encode_ids(texts: list[str], tokenizer_file: str, rank_file: str | None) -> Iterator[np.ndarray]:
-    """The tokenizer's ids of each text.
+    """The ids that the tokenizer file gives each text, without special tokens added.
 
-    The rank file holds the same vocabulary; for texts below U+0250, where all
-    versions of the character classes agree, its faster encoder gives the same ids.
+    The rank file holds the same vocabulary and pattern, and its encoder is several times
+    faster.  It gives the same ids (tests compare them) where a text holds none of the
+    tokenizer's added tokens, which are ids of their own, and no character from U+0250 on,
+    whose class depends on a library's version of Unicode; other texts, whole, go to the
+    tokenizer itself.
     """
     tokenizer = _tokenizer(tokenizer_file)
     fast = bpe.encoding(rank_file, public_tokenizers.PATTERN) if rank_file else None
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     for text in texts:
-        if fast is not None and (text.isascii() or max(text) < "ɐ"):
+        if fast is not None and (text.isascii() or max(text) < "ɐ") and not any(t in text for t in added):
             ids = bpe.encode_text(fast, text)
         else:
             ids = [i for part in bpe.safe_parts(text) for i in tokenizer.encode(part, add_special_tokens=False).ids]
@@ -220,6 +225,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
         slice_id = uuid.uuid4().hex
         ranks = np.zeros(capacity + 1, np.int64)
         for whole in batches:
+            common.release()
             for a in range(0, len(whole), ROWS_TOGETHER):
                 batch = whole.slice(a, ROWS_TOGETHER)
                 rows: list[tuple] = []
@@ -268,7 +274,8 @@ def pack(docs: DataFrame, limits: Limits = Limits(), **options) -> DataFrame:
                 [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"],
             )
 
-    ranked = cut_pieces.join(counts.drop("n"), ["length", "slice"])
+    # a row for each slice and length: it grows with the corpus, so it is never broadcast
+    ranked = cut_pieces.join(counts.drop("n").hint("merge"), ["length", "slice"])
     columns = [c for c in cut_pieces.columns if c not in ("slice", "rank")]
     ranked = ranked.select(*columns, "slice", "rank", "ahead")
     schema = ", ".join(f"{c} {t}" for c, t in cut_pieces.select(*columns).dtypes) + ", sequence_id long, offset long"

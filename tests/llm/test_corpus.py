@@ -411,6 +411,20 @@ def test_plans_obey_every_capacity(limits):
     assert frame.s.nunique() == planned.sequences
 
 
+def test_all_three_capacities_choose():
+    lengths = np.random.default_rng(4).integers(1, 1025, 20_000)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
+    vector, scalar = packing.plan(histogram), packing.plan(histogram, packing.Limits(weights=(1.0, 0.0, 0.0)))
+    assert vector.runs != scalar.runs and vector.sequences <= 1.01 * lengths.sum() / 1024 + 1 and abs(vector.sequences - scalar.sequences) <= 0.001 * scalar.sequences
+
+
+def test_ids_are_the_tokenizer_files_own():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["x <|endoftext|> y", "<|endoftext|>" * 3, "plain", "", "漢字 <|endoftext|>é", "word " * 30_000 + "<|endoftext|>" + " word" * 30_000, "a <|endoftext |> b"]
+    got = packing.encode_ids(texts, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @given(st.text(st.characters(max_codepoint=0x24F, exclude_categories=["Cs"]), max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_fast_ids_equal_the_tokenizers(text):
