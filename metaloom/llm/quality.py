@@ -6,21 +6,32 @@ of its words on content lines decides: ``kept`` needs at least ``KEEP_SHARE``.
 document that fails the base rules (too few words, or too much of it in repeated
 3-word windows) isn't kept whatever its lines.
 
-The field is fitted here, in numpy, by full-batch gradient descent on the
-likelihood of a bounded sample of labelled documents (``TRAIN_DOCS``), the lines of a
-document of quality 1 standing for content and those of quality 0 for boilerplate.
-Long documents are fitted in stretches of ``STRETCH`` lines, all of them.  Without
-labels of both kinds every line is content.
+The field is fitted here, in numpy, by full-batch gradient descent on the likelihood
+of the lines of a bounded sample of labelled documents (``TRAIN_DOCS``, and the bounds of
+``samples``).  Quality is a label of documents; their lines are labelled weakly first:
+
+* a line that stands behind ``SHARED_CONTEXTS`` or more different lines, at least
+  ``SHARED_SHARE`` times the number of its documents, is boilerplate (a line of near
+  copies mostly stands behind the same line; the hashes of at most ``MOST_SHARED`` such
+  lines are part of the model, as a feature);
+* a model of single lines learns which lines are of documents of quality 1; a line of a
+  quality-0 document that it holds for one of those (``SURE``) is content, and one of a
+  quality-1 document that it holds for one of the others is boilerplate.
+
+So documents of either quality mix both labels, and the transitions are learnt from
+sequences that switch.  Long documents are fitted in stretches of ``STRETCH`` lines, all
+of them.  Without labels of both kinds every line is content.
 
 Defined results: null and empty texts have no words, fail the base rules and aren't
 kept; repeated rows give a row each; a null doc_id stays null; an empty table gives
-no rows; other columns are ignored, whatever their names.
+no rows; a very long text is judged whole; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +43,8 @@ from . import common, samples
 TRAIN_DOCS = 2000
 STRETCH = 32
 KEEP_SHARE = 0.5
+SHARED_CONTEXTS, SHARED_SHARE, MOST_SHARED = 5, 0.3, 1024
+SURE = 0.7
 MIN_WORDS = 50
 SLICE_BYTES = 4 << 20
 
@@ -46,7 +59,7 @@ _STOP[list(b".!?")] = True
 _PUNCTUATION = np.zeros(256, dtype=bool)
 _PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
-FEATURES = ("bias", "log_words", "short", "symbols", "symbol_words", "digits", "upper", "punctuation", "ends_sentence", "distinct", "word_length", "duplicate")
+FEATURES = ("bias", "log_words", "short", "symbols", "symbol_words", "digits", "upper", "punctuation", "ends_sentence", "distinct", "word_length", "duplicate", "shared")
 
 
 @dataclass
@@ -56,6 +69,7 @@ class Lines:
     features: np.ndarray
     words: np.ndarray
     first: np.ndarray
+    hashes: np.ndarray
 
 
 def _counts(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -63,7 +77,7 @@ def _counts(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return sums[ends] - sums[starts]
 
 
-def line_features(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray, word_ends: np.ndarray, word_hash: np.ndarray) -> Lines:
+def line_features(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray, word_ends: np.ndarray, word_hash: np.ndarray, shared: np.ndarray) -> Lines:
     starts, ends, _ = common.word_bounds(data != 10, offsets)
     w0, w1 = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends)
     held = w1 > w0
@@ -71,7 +85,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray
     first = np.searchsorted(starts, offsets)
     n = len(starts)
     if n == 0:
-        return Lines(np.zeros((0, len(FEATURES))), np.zeros(0, np.int64), first)
+        return Lines(np.zeros((0, len(FEATURES))), np.zeros(0, np.int64), first, np.zeros(0, np.uint64))
     words = w1 - w0
     size = np.maximum(1, ends - starts).astype(float)
     symbols = _counts(_SYMBOL[data], starts, ends)
@@ -84,8 +98,9 @@ def line_features(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray
     distinct = np.bincount(line_of_word[order[new]], minlength=n)
     last = data[word_ends[w1 - 1] - 1]
     row = np.searchsorted(first, np.arange(n), side="right") - 1
+    hashes = common.word_hashes(data, starts, ends)
     with np.errstate(over="ignore"):
-        line_key = common.mix(common.word_hashes(data, starts, ends) ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        line_key = common.mix(hashes ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     _, inverse, times = np.unique(line_key, return_inverse=True, return_counts=True)
     features = np.stack(
         [
@@ -101,19 +116,21 @@ def line_features(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray
             distinct / words,
             size / words / 10,
             times[inverse] > 1,
+            np.isin(hashes, shared),
         ],
         axis=1,
     ).astype(float)
-    return Lines(features, words, first)
+    return Lines(features, words, first, hashes)
 
 
 @dataclass
 class Field:
-    """Weights of content against boilerplate, transitions [from, to] and start scores."""
+    """Weights of content against boilerplate, transitions [from, to], start scores, and the hashes of known shared lines."""
 
     weights: np.ndarray
     transitions: np.ndarray
     start: np.ndarray
+    shared: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     @classmethod
     def all_content(cls) -> Field:
@@ -157,26 +174,25 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def fit(features: list[np.ndarray], labels: list[int], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam over all stretches at once; every line of a stretch has its label."""
+def fit(features: list[np.ndarray], labels: list[np.ndarray], steps: int = 80, rate: float = 0.5, penalty: float = 1e-4) -> Field:
+    """Maximum likelihood by Adam over all stretches at once; ``labels`` has one for each line of a stretch."""
     n, width = len(features), max(map(len, features))
     x = np.zeros((n, width, len(FEATURES)))
-    there = np.zeros((n, width), dtype=bool)
+    y = np.full((n, width), -1)
     for i, f in enumerate(features):
         x[i, : len(f)] = f
-        there[i, : len(f)] = True
-    y = np.array(labels)
-    length = there.sum(1)
+        y[i, : len(f)] = labels[i]
+    there = y >= 0
     total = there.sum()
     size = len(FEATURES)
     theta = np.zeros(size + 6)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     # observed counts
     seen = np.zeros_like(theta)
-    seen[:size] = x[y == 1].sum((0, 1))
-    for label in (0, 1):
-        seen[size + 3 * label] = (length[y == label] - 1).sum()
-        seen[size + 4 + label] = (y == label).sum()
+    seen[:size] = x[y == 1].sum(0)
+    pair = (2 * y[:, :-1] + y[:, 1:])[there[:, 1:]]
+    seen[size : size + 4] = np.bincount(pair, minlength=4)
+    seen[size + 4 :] = np.bincount(y[:, 0], minlength=2)
     for step in range(1, steps + 1):
         emission = np.zeros((n, width, 2))
         emission[:, :, 1] = x @ theta[:size]
@@ -207,25 +223,50 @@ def fit(features: list[np.ndarray], labels: list[int], steps: int = 150, rate: f
     return Field(theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4 :])
 
 
-def _batch_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Lines]:
+def _batch_lines(data: np.ndarray, offsets: np.ndarray, shared: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Lines]:
     starts, ends, first = common.word_bounds(~common.IS_WHITE[data], offsets)
     hashes = common.word_hashes(data, starts, ends)
-    return starts, ends, first, hashes, line_features(data, offsets, starts, ends, hashes)
+    return starts, ends, first, hashes, line_features(data, offsets, starts, ends, hashes, shared)
+
+
+def shared_lines(lines: Lines) -> np.ndarray:
+    """Hashes, ascending, of the lines that stand behind many different lines."""
+    row = np.repeat(np.arange(len(lines.first) - 1), np.diff(lines.first))
+    before = np.concatenate((np.zeros(1, np.uint64), lines.hashes[:-1]))
+    before[lines.first[:-1][np.diff(lines.first) > 0]] = 0
+    names, at = np.unique(lines.hashes, return_inverse=True)
+    contexts, documents = (np.bincount(np.unique(np.stack((at, np.unique(x, return_inverse=True)[1])), axis=1)[0], minlength=len(names)) for x in (before, row))
+    contexts[contexts < SHARED_SHARE * documents] = 0
+    most = np.argsort(-contexts, kind="stable")[:MOST_SHARED]
+    return np.sort(names[most[contexts[most] >= SHARED_CONTEXTS]])
+
+
+def weak_labels(lines: Lines, quality: np.ndarray) -> np.ndarray:
+    """A label of every line: content or boilerplate; ``quality`` is that of its document."""
+    alone = fit(list(lines.features[:, None, :]), [np.array([q]) for q in quality.tolist()])
+    # the documents' share of either quality is no evidence about a line
+    rate = quality.mean()
+    good = 1 / (1 + np.exp(-(lines.features @ alone.weights + alone.start[1] - alone.start[0] - np.log(rate / (1 - rate)))))
+    label = np.where(quality == 1, good >= 1 - SURE, good > SURE).astype(int)
+    label[lines.features[:, FEATURES.index("shared")] > 0] = 0
+    return label
 
 
 def fit_labelled(rows: list[tuple[str, int]]) -> Field:
     """A field from (text, quality) rows; all content without rows of both kinds."""
-    if len({q for _, q in rows}) < 2:
-        return Field.all_content()
     data, offsets = common.string_buffers(pa.array([t for t, _ in rows], pa.large_string()))
     lines = _batch_lines(data, offsets)[4]
-    features, labels = [], []
-    for i, (_, quality) in enumerate(rows):
-        own = lines.features[lines.first[i] : lines.first[i + 1]]
-        for a in range(0, len(own), STRETCH):
-            features.append(own[a : a + STRETCH])
-            labels.append(quality)
-    return fit(features, labels) if len(set(labels)) == 2 else Field.all_content()
+    quality = np.repeat(np.array([q for _, q in rows], int), np.diff(lines.first))
+    if len(set(quality.tolist())) < 2:
+        return Field.all_content()
+    shared = shared_lines(lines)
+    lines.features[:, FEATURES.index("shared")] = np.isin(lines.hashes, shared)
+    label = weak_labels(lines, quality)
+    cuts = [a for i in range(len(rows)) for a in range(lines.first[i], lines.first[i + 1], STRETCH)]
+    ends = [min(a + STRETCH, b) for i, b in enumerate(lines.first[1:]) for a in range(lines.first[i], b, STRETCH)]
+    found = fit([lines.features[a:b] for a, b in zip(cuts, ends)], [label[a:b] for a, b in zip(cuts, ends)])
+    found.shared = shared
+    return found
 
 
 def repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -249,7 +290,7 @@ def repeated_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bincount(row[covered], minlength=len(counts))
 
 
-def judge(docs: DataFrame, field: Field, keep_share: float = KEEP_SHARE) -> DataFrame:
+def judge(docs: DataFrame, model: Field, keep_share: float = KEEP_SHARE) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share, n_lines of every row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +298,7 @@ def judge(docs: DataFrame, field: Field, keep_share: float = KEEP_SHARE) -> Data
             data, offsets = common.string_buffers(batch.column(1))
             for a, b in common.slices(offsets, SLICE_BYTES):
                 part, cuts = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *_judged(part, cuts, field, keep_share)], NAMES)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *_judged(part, cuts, model, keep_share)], NAMES)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")).mapInArrow(run, SCHEMA)
 
@@ -266,8 +307,8 @@ NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repea
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long"
 
 
-def _judged(data: np.ndarray, cuts: np.ndarray, field: Field, keep_share: float) -> list[pa.Array]:
-    starts, ends, first, hashes, lines = _batch_lines(data, cuts)
+def _judged(data: np.ndarray, cuts: np.ndarray, model: Field, keep_share: float) -> list[pa.Array]:
+    starts, ends, first, hashes, lines = _batch_lines(data, cuts, model.shared)
     n_words = np.diff(first)
     in_word = ~common.IS_WHITE[data] & ((data & 0xC0) != 0x80)
     word_chars = _counts(in_word, cuts[:-1], cuts[1:])
@@ -278,7 +319,7 @@ def _judged(data: np.ndarray, cuts: np.ndarray, field: Field, keep_share: float)
     for x, y in zip(at, at[1:]):
         held = [line for line in raw[x:y].split(b"\n") if line.strip()]
         dup_lines.append(len(held) - len(set(held)))
-    labels = field.viterbi(lines)
+    labels = model.viterbi(lines)
     row = np.repeat(np.arange(len(n_words)), np.diff(lines.first))
     content = np.bincount(row, weights=lines.words * labels, minlength=len(n_words))
     share = content / np.maximum(1, n_words)

@@ -14,6 +14,7 @@ from urllib.parse import quote
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -267,19 +268,63 @@ def test_op6(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t)
         assert not (r.base_failed and r.kept)
     labels = pd.read_parquet(f"{sf}/labels.parquet").set_index("doc_id")
+    assert ((got.content_share > 0) & (got.content_share < 1)).mean() > 0.1  # lines are labelled, not documents
     both = got.join(labels[["quality"]], how="inner")
     judged = both[~both.base_failed]
     assert ((judged.kept.astype(int)) == judged.quality).mean() > 0.95
     assert judged[judged.quality == 1].kept.mean() > 0.98
 
 
+def labelled(sf):
+    docs, labels = pd.read_parquet(f"{sf}/documents.parquet"), pd.read_parquet(f"{sf}/labels.parquet")
+    return docs.merge(labels, on="doc_id").fillna({"text": ""}).query("quality in (0, 1)")
+
+
+def test_held_out_documents_and_every_path_of_theirs():
+    """Fitted on some labelled documents, judged on others; paths and verdicts by a Viterbi written again."""
+    rows = labelled("/root/testdata/sf0.01")
+    test = rows.doc_id % 4 == 2
+    field = quality.fit_labelled(list(zip(rows.text[~test], rows.quality[~test])))
+    data, cuts = common.string_buffers(pa.array(rows.text[test].tolist(), pa.large_string()))
+    out = dict(zip(quality.NAMES[1:], (x.to_pylist() for x in quality._judged(data, cuts, field, quality.KEEP_SHARE))))
+    lines = quality._batch_lines(data, cuts, field.shared)[4]
+    right = total = 0
+    for i, (text, good) in enumerate(zip(rows.text[test], rows.quality[test])):
+        score, back = None, []
+        span = range(lines.first[i], lines.first[i + 1])
+        for j in span:
+            gain = (0.0, float(lines.features[j] @ field.weights))
+            if score is None:
+                score = [field.start[v] + gain[v] for v in (0, 1)]
+                continue
+            back.append([max((0, 1), key=lambda u: score[u] + field.transitions[u, v]) for v in (0, 1)])
+            score = [score[back[-1][v]] + field.transitions[back[-1][v], v] + gain[v] for v in (0, 1)]
+        path = [] if score is None else [max((0, 1), key=lambda v: score[v])]
+        for step in reversed(back):
+            path.insert(0, step[path[0]])
+        content = sum(int(lines.words[j]) for j, v in zip(span, path) if v)
+        n, *_, failed = brute_quality(text)
+        assert out["content_share"][i] == content / max(1, n) and out["kept"][i] == (not failed and content >= quality.KEEP_SHARE * n)
+        if not failed:
+            total, right = total + 1, right + (out["kept"][i] == (good == 1))
+    assert total > 50 and right >= 0.95 * total
+
+
+def test_shared_lines_are_no_lines_of_copies():
+    menu = "home | about | contact"
+    texts = [f"first {i}\n{menu}\nlast {i}" for i in range(8)] + [f"edit {i // 9}\none body line\nanother body line" for i in range(40)]
+    data, cuts = common.string_buffers(pa.array(texts, pa.large_string()))
+    lines = quality._batch_lines(data, cuts)[4]
+    assert quality.shared_lines(lines).tolist() == [lines.hashes[1]]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     field = quality.Field(rng.normal(size=len(quality.FEATURES)), rng.normal(size=(2, 2)), rng.normal(size=2))
     sizes = [0, 1, 3, 6, 2]
     x = rng.normal(size=(sum(sizes), len(quality.FEATURES)))
     first = np.concatenate(([0], np.cumsum(sizes)))
-    got = field.viterbi(quality.Lines(x, np.ones(len(x)), first))
+    got = field.viterbi(quality.Lines(x, np.ones(len(x)), first, np.zeros(len(x), np.uint64)))
     for a, b in zip(first[:-1], first[1:]):
         best, path = -np.inf, ()
         for code in range(2 ** (b - a)):
@@ -292,8 +337,8 @@ def test_viterbi_is_the_best_path():
 
 def test_crf_learns():
     rng = np.random.default_rng(1)
-    labels = rng.integers(0, 2, 60).tolist()
-    features = [rng.normal(size=(rng.integers(1, 9), len(quality.FEATURES))) + (2.0 if y else -2.0) * np.eye(len(quality.FEATURES))[3] for y in labels]
+    labels = [np.full(rng.integers(1, 9), y) for y in rng.integers(0, 2, 60)]
+    features = [rng.normal(size=(len(y), len(quality.FEATURES))) + np.outer(4.0 * y - 2, np.eye(len(quality.FEATURES))[3]) for y in labels]
     field = quality.fit(features, labels, steps=80)
     assert field.weights[3] > 0.5 and field.transitions[0, 0] > field.transitions[0, 1]
 
@@ -344,8 +389,6 @@ def test_bpe_edges(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=20), max_size=8))
 def test_word_kernels(texts):
-    import pyarrow as pa
-
     data, offsets = common.string_buffers(pa.array(texts, pa.string()))
     starts, ends, first = common.word_bounds(~common.IS_WHITE[data], offsets)
     raw = data.tobytes()
