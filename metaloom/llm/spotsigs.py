@@ -2,8 +2,8 @@
 
 A *spot* is an occurrence of a common word (an anchor); its signature is the
 anchor with the chain of the next ``chain`` content words, i.e. words that aren't
-anchors.  A text's fingerprint is the sorted set of its signatures' 32-bit hashes,
-eight hex digits each.  A text without a spot has one signature, of all its words
+anchors.  A text's fingerprint is the sorted set of its signatures' 64-bit hashes,
+16 hex digits each.  A text without a spot has one signature, of all its words
 in order, so that only texts of the same words share it; a text without words has
 the empty fingerprint.
 
@@ -11,28 +11,39 @@ Words are maximal runs of digits, ASCII letters (lower-cased) and non-ASCII
 characters.  Anchors are the commonest function words of several languages, a
 parameter.
 
-``similar`` finds all pairs with a Jaccard likeness of at least ``threshold``: sets
-are partitioned by length, so that only lengths a <= b with a >= threshold * b can
-meet; within those a pair meets at the rarest signatures of its prefix (a set of n
-signatures needs n - ceil(threshold * n) + 1 of them, so no pair is lost), and a
-candidate is verified by a merge that stops when the bound can't be met.
+Two texts are compared by the Jaccard likeness of their sets, pruned by their lengths:
+of sets of a and b signatures the likeness is at most min / max, so an empty set, or two
+whose ranges of hashes don't meet, are never merged; the others are merged in partitions of
+like length.  ``similar`` finds all pairs with a likeness of at least ``threshold``: sets
+are partitioned by length, in classes that grow by 1 / threshold, so that a set meets
+only its own class and the next; within those a pair meets at the rarest signatures of its
+prefix (a set of n signatures needs n - ceil(threshold * n) + 1 of them, so no pair is
+lost), and a candidate is verified by a merge that stops when the bound can't be met.
+
+Documents are put in order of doc_id by one range shuffle of their texts, whose ranges split
+an id of many rows too; where ranges meet, the rows at their ends are compared in a second,
+small step.
 
 Defined results: null texts are empty; equal texts have equal fingerprints and
 likeness 1; two empty fingerprints are alike (1), an empty and another are not
-(0); repeated rows are rows of their own; rows with equal doc_id are ordered by
-text, a null doc_id comes before all others; an empty table gives no rows; other
-columns are ignored, whatever their names.
+(0); repeated rows are rows of their own; rows with equal doc_id are ordered by a hash
+of their texts, a null doc_id comes before all others; an empty table gives no rows; a
+very long text is signed whole, by itself; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -45,8 +56,6 @@ ANCHORS = tuple(
 )
 CHAIN = 2
 _NULL_ID = -(1 << 63)
-#: Ranges of doc_id a shuffle partition, so that partitions get about the same, and at most.
-SLICES_A_PARTITION, MAX_SLICES = 4, 4096
 #: Bytes of text signed at a time; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
 
@@ -58,8 +67,18 @@ def _hash_words(words: list[bytes]) -> np.ndarray:
     return common.word_hashes(data, starts, ends)
 
 
-def signature_keys(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, chain: int = CHAIN) -> np.ndarray:
-    """Sorted distinct (row << 32 | signature) of every row of a batch."""
+@dataclass
+class Sets:
+    """The sorted distinct signatures of every row of a batch; those of row r are sigs[cuts[r]:cuts[r + 1]]."""
+
+    cuts: np.ndarray
+    sigs: np.ndarray
+
+    def rows(self, a: int, b: int) -> Sets:
+        return Sets(self.cuts[a : b + 1] - self.cuts[a], self.sigs[self.cuts[a] : self.cuts[b]])
+
+
+def signatures(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, chain: int = CHAIN) -> Sets:
     data = common.lower_ascii(data)
     starts, ends, first = common.word_bounds(common.IS_ALNUM[data], offsets)
     hashes = common.word_hashes(data, starts, ends)
@@ -78,32 +97,46 @@ def signature_keys(data: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, c
         value = hashes[spots].copy()
         for j in range(chain):
             value = value * np.uint64(0x9E3779B97F4A7C15) + hashes[content[following + j]]
-        keys = (row[spots].astype(np.uint64) << np.uint64(32)) | (common.mix(value) >> np.uint64(32))
-        bare = np.setdiff1d(np.flatnonzero(counts), row[spots])
-        if len(bare):
-            # the whole sequence, by a polynomial over the words' places
-            whole = []
-            for r in bare.tolist():
-                words = hashes[first[r] : first[r + 1]]
-                whole.append(np.uint64(int(hashlib.blake2b(words.tobytes(), digest_size=4).hexdigest(), 16)))
-            keys = np.concatenate((keys, (bare.astype(np.uint64) << np.uint64(32)) | np.array(whole, np.uint64)))
-    return np.unique(keys)
-
-
-def serialise(keys: np.ndarray, rows: int) -> list[str]:
-    """The fingerprint of every row of sorted keys."""
-    cuts = np.searchsorted(keys, np.arange(rows + 1, dtype=np.uint64) << np.uint64(32)).tolist()
-    hexes = keys.astype(np.uint32).astype(">u4").tobytes().hex()
-    return [hexes[8 * a : 8 * b] for a, b in zip(cuts, cuts[1:])]
-
-
-def likeness(a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
-    """Jaccard likeness of each row's two key sets; two empty ones are alike."""
-    bound = np.arange(rows + 1, dtype=np.uint64) << np.uint64(32)
-    na, nb = np.diff(np.searchsorted(a, bound)), np.diff(np.searchsorted(b, bound))
-    shared = np.diff(np.searchsorted(np.intersect1d(a, b, assume_unique=True), bound))
-    either = na + nb - shared
-    return np.where(either == 0, 1.0, shared / np.maximum(either, 1))
+    owner, value = row[spots], common.mix(value)
+    bare = np.setdiff1d(np.flatnonzero(counts), owner)
+    if len(bare):
+        # the whole sequence
+        whole = [int.from_bytes(hashlib.blake2b(hashes[first[r] : first[r + 1]].tobytes(), digest_size=8).digest(), "big") for r in bare.tolist()]
+        owner, value = np.concatenate((owner, bare)), np.concatenate((value, np.array(whole, np.uint64)))
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    return Sets(np.searchsorted(owner[new], np.arange(len(counts) + 1)), value[new])
+
+
+def serialise(sets: Sets) -> list[str]:
+    """The fingerprint of every row."""
+    cuts = sets.cuts.tolist()
+    hexes = sets.sigs.astype(">u8").tobytes().hex()
+    return [hexes[16 * a : 16 * b] for a, b in zip(cuts, cuts[1:])]
+
+
+def likeness(a: Sets, b: Sets) -> np.ndarray:
+    """Jaccard likeness of each row's two sets; two empty ones are alike."""
+    na, nb = np.diff(a.cuts), np.diff(b.cuts)
+    out = np.where(na + nb == 0, 1.0, 0.0)
+    rows = np.flatnonzero((na > 0) & (nb > 0))
+    # pruned: ranges that don't meet
+    rows = rows[(a.sigs[a.cuts[rows]] <= b.sigs[b.cuts[rows + 1] - 1]) & (b.sigs[b.cuts[rows]] <= a.sigs[a.cuts[rows + 1] - 1])]
+    # partitions of like length
+    size = np.maximum(na, nb)[rows]
+    for least in np.unique(np.int64(1) << np.frexp(size.astype(float))[1]).tolist():
+        some = rows[(size < least) & (2 * size >= least)]
+        owner = np.concatenate([np.repeat(some, n[some]) for n in (na, nb)])
+        place = np.concatenate([np.repeat(s.cuts[some] - np.cumsum(n[some]) + n[some], n[some]) + np.arange(n[some].sum()) for s, n in ((a, na), (b, nb))])
+        value = np.concatenate((a.sigs[place[: na[some].sum()]], b.sigs[place[na[some].sum() :]]))
+        order = np.lexsort((value, owner))
+        owner, value = owner[order], value[order]
+        twice = (owner[1:] == owner[:-1]) & (value[1:] == value[:-1])
+        shared = np.bincount(owner[1:][twice], minlength=len(na))[some]
+        out[some] = shared / (na[some] + nb[some] - shared)
+    return out
 
 
 def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,98 +149,74 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, doc_slices: int | None = None) -> DataFrame:
-    """Rows (slice, doc_id, text, last) in which every slice of doc_ids is followed by the next slice's first row.
-
-    Slices are ranges of doc_id, so the text moves once; a slice's rows, sorted, and
-    one more row are all that is needed to see each row's successor.
-    """
-    spark = docs.sparkSession
-    slices = doc_slices or min(MAX_SLICES, SLICES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), common.text_column(docs).alias("text"))
-    cuts = ids.select(F.percentile_approx("id", F.lit([i / slices for i in range(1, slices)] or [0.5]), F.lit(10000)).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts)) if slices > 1 else []
-    placed = ids.withColumn("slice", _rank(cuts))
-    # one row a slice
-    firsts = [(r["slice"], r["id"]) for r in placed.groupBy("slice").agg(F.min("id").alias("id")).orderBy("slice").collect()]
-    if not firsts:
-        return placed.select("slice", "id", "text", F.lit(False).alias("extra"))
-    order = [s for s, _ in firsts]
-    before = {nxt: s for s, nxt in zip(order, order[1:])} | {order[0]: order[-1]}
-    head_id = F.create_map(*[F.lit(x) for s, i in firsts for x in (s, i)])
-    to = F.create_map(*[F.lit(x) for s, b in before.items() for x in (s, b)])
-    own = F.struct(F.col("slice").alias("slice"), F.lit(False).alias("extra"))
-    also = F.struct(to[F.col("slice")].alias("slice"), F.lit(True).alias("extra"))
-    targets = F.when(F.col("id") == head_id[F.col("slice")], F.array(own, also)).otherwise(F.array(own))
-    return placed.select("id", "text", F.explode(targets).alias("at")).select("at.slice", "id", "text", "at.extra")
-
-
-def _rank(cuts: list[int]):
-    """Number of cuts that are at most ``id``, by binary search as a balanced CASE."""
-
-    def part(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("id") >= F.lit(cuts[middle]), part(middle + 1, high)).otherwise(part(low, middle))
-
-    return part(0, len(cuts))
-
-
-def edited_fingerprints(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, doc_slices: int | None = None) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+    common.bound_batches(docs.sparkSession)
     anchor_hashes = np.sort(_hash_words([a.encode() for a in anchors]))
-    columns = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-
-    def signed(rows: list[tuple[int, str]], following: str) -> pa.RecordBatch:
-        """The results of consecutive rows, the last of which is followed by ``following``."""
-        n = len(rows)
-        texts = [t for _, t in rows] + [following]
-        edited = [edit(a, b) for a, b in zip(texts, texts[1:])]
-        keys = signature_keys(*_encode(texts), anchor_hashes, chain)
-        edited_keys = signature_keys(*_encode(edited), anchor_hashes, chain)
-        limit = np.uint64(n) << np.uint64(32)
-        own = keys[keys < limit]
-        after = keys[keys >= np.uint64(1) << np.uint64(32)] - (np.uint64(1) << np.uint64(32))
-        ids = [None if i == _NULL_ID else i for i, _ in rows]
-        values = (
-            pa.array(ids, pa.int64()),
-            pa.array([len(t) for t in texts[:n]], pa.int64()),
+    columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def signed(rows: list[tuple[int | None, str]], following: list[str]) -> list[pa.Array]:
+        """The results of rows and the texts that follow them."""
+        texts = [t for _, t in rows]
+        edited = [edit(a, b) for a, b in zip(texts, following)]
+        own, changed, after = (signatures(*_encode(x), anchor_hashes, chain) for x in (texts, edited, following))
+        return [
+            pa.array([i for i, _ in rows], pa.int64()),
+            pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-            pa.array(serialise(own, n), pa.string()),
-            pa.array(serialise(edited_keys, n), pa.string()),
-            pa.array(likeness(own, edited_keys, n), pa.float64()),
-            pa.array(likeness(own, after, n), pa.float64()),
-        )
-        return pa.RecordBatch.from_arrays(list(values), list(columns))
+            pa.array(serialise(own), pa.string()),
+            pa.array(serialise(changed), pa.string()),
+            pa.array(likeness(own, changed), pa.float64()),
+            pa.array(likeness(own, after), pa.float64()),
+        ]
+
+    edge = ["part", "first_text", "last_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by slice, the extra row last in its slice
-        pending: list[tuple[int, str]] = []
-        held, at = 0, None
+        """The rows of a range, but for the last, and the texts at its ends."""
+        pending: list[tuple[int | None, str]] = []
+        held, head = 0, None
+
+        def done() -> pa.RecordBatch:
+            # all but the last, which the next block begins with
+            found = signed(pending[:-1], [t for _, t in pending[1:]])
+            n = len(pending) - 1
+            return pa.RecordBatch.from_arrays([*found, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], columns + edge)
+
         for batch in batches:
-            parts, extras = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            for part, doc_id, text, extra in zip(parts, batch.column(1).to_pylist(), batch.column(2), extras):
-                if part != at:
-                    pending, held, at = [], 0, part
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                if extra:
-                    # the first of several rows of the next slice's least doc_id
-                    if pending:
-                        yield signed(pending, text)
-                    pending, held = [], 0
-                    continue
-                if held > SLICE_BYTES:
-                    yield signed(pending, text)
-                    pending, held = [], 0
+                head = text if head is None else head
                 pending.append((doc_id, text))
                 held += len(text)
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    placed = with_next(docs, doc_slices)
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_rows = placed.repartition(n, "slice").sortWithinPartitions("slice", "extra", "id", "text")
-    return sorted_rows.select("slice", "id", "text", "extra").mapInArrow(run, schema)
+                if held > SLICE_BYTES:
+                    yield done()
+                    pending, held = pending[-1:], len(text)
+        if pending:
+            yield done()
+            doc_id, text = pending[-1]
+            rest = [pa.nulls(1, f.type) for f in signed([], [])]
+            values = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([head], pa.string()), pa.array([text], pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *rest[1:], *values], columns + edge)
+
+    def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, following = (batch.column(i).to_pylist() for i in range(3))
+            yield pa.RecordBatch.from_arrays(signed(list(zip(ids, texts)), following), columns)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
+    # the last key splits an id's copies of one text, whose order makes no difference
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("nth"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("nth")]
+    n = ranges or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    found = common.materialize(ranged.mapInArrow(run, f"{schema}, part int, first_text string, last_text string"), "signed")
+    # two texts a range
+    ends, whole = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = F.coalesce(F.lead("first_text").over(ends), F.first("first_text").over(whole))
+    last = found.where("part IS NOT NULL").select("doc_id", F.col("last_text").alias("text"), following.alias("following"))
+    return found.where("part IS NULL").select(*columns).unionAll(last.mapInArrow(join_ends, schema))
 
 
 def signature_sets(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> DataFrame:
@@ -218,9 +227,8 @@ def signature_sets(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, chain: i
         for batch in batches:
             data, offsets = common.string_buffers(batch.column(1))
             for a, b in common.slices(offsets, SLICE_BYTES):
-                keys = signature_keys(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], anchor_hashes, chain)
-                cuts = np.searchsorted(keys, np.arange(b - a + 1, dtype=np.uint64) << np.uint64(32))
-                sigs = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+                sets = signatures(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], anchor_hashes, chain)
+                sigs = pa.ListArray.from_arrays(pa.array(sets.cuts, pa.int32()), pa.array((sets.sigs ^ np.uint64(1 << 63)).view(np.int64))  # in the same order)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sigs], ["doc_id", "sigs"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")).mapInArrow(run, "doc_id long, sigs array<long>")
@@ -261,9 +269,13 @@ def similar(docs: DataFrame, threshold: float = 0.7, **options) -> tuple[DataFra
     ranked = listed.groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("by_df"))
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1
     heads = ranked.select("set_id", "n", F.explode(F.slice("by_df", F.lit(1), prefix.cast("int"))).alias("head")).select("set_id", "n", F.col("head.sig").alias("sig"))
-    left, right = (heads.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), "sig") for x in "ab")
-    close = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
-    candidates = left.join(right, "sig").where(close).select("a", "b").distinct()
+    # classes of length: the larger of a pair is of the smaller's class or the next
+    step = math.log(1 / threshold) if 0 < threshold < 1 else 1.0
+    of_length = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / step + 1e-9)
+    smaller = heads.select("set_id", "n", "sig", F.explode(F.array(of_length, of_length + 1)).alias("class"))
+    larger = heads.select(F.col("set_id").alias("other"), F.col("n").alias("m"), "sig", of_length.alias("class"))
+    close = (F.col("n") >= F.lit(threshold) * F.col("m")) & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("set_id") < F.col("other"))))
+    candidates = smaller.join(larger, ["class", "sig"]).where(close).select(F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b")).distinct()
     sized = classes.select("set_id", "sigs")
     both = candidates.join(sized.select(F.col("set_id").alias("a"), F.col("sigs").alias("sa")), "a").join(sized.select(F.col("set_id").alias("b"), F.col("sigs").alias("sb")), "b")
 

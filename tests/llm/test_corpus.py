@@ -457,10 +457,10 @@ def jaccard(a, b):
     return 1.0 if not a and not b else len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("slices", [1, 7, None])
-def test_op8(spark, slices):
+@pytest.mark.parametrize("ranges", [1, 7, 300, None])
+def test_op8(spark, ranges):
     docs = docs_of(SF)
-    got = spotsigs.edited_fingerprints(spark.read.parquet(f"{SF}/documents.parquet"), doc_slices=slices).toPandas().sort_values("doc_id").reset_index(drop=True)
+    got = spotsigs.edited_fingerprints(spark.read.parquet(f"{SF}/documents.parquet"), ranges=ranges).toPandas().sort_values("doc_id").reset_index(drop=True)
     texts = [t or "" for t in docs.text]
     following = texts[1:] + texts[:1]
     for i, (t, n) in enumerate(zip(texts, following)):
@@ -469,7 +469,31 @@ def test_op8(spark, slices):
         r = got.loc[i]
         assert (r.doc_id, r.n_chars, r.edited_sha256) == (docs.doc_id[i], len(t), hashlib.sha256(e.encode()).hexdigest())
         assert r.near_edited == pytest.approx(jaccard(a, brute_spots(e))) and r.near_next == pytest.approx(jaccard(a, brute_spots(n)))
-        assert len(r.fingerprint) == 8 * len(a)
+        assert len(r.fingerprint) == 16 * len(a)
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_rows_of_one_id_have_all_others_as_followers_once(spark, ranges):
+    """A third of the rows without an id, a third with one; every text is followed once, whatever the ranges."""
+    texts = [f"text number {i} of the many words" for i in range(30)] + ["copy of the same words"] * 30
+    rows = [((None, 7, 100 + i)[i % 3], t) for i, t in enumerate(texts)]
+    got = spotsigs.edited_fingerprints(table(spark, rows), ranges=ranges).toPandas()
+    assert sorted(got.n_chars) == sorted(map(len, texts)) and got.doc_id.isna().sum() == 20 == (got.doc_id == 7).sum()
+    last = got[got.doc_id == 159].iloc[0]
+    first = {hashlib.sha256((texts[59][: len(texts[59]) - len(texts[59]) // 2] + t[: len(texts[59]) // 2]).encode()).hexdigest() for i, t in rows if i is None}
+    assert last.edited_sha256 in first
+    halves = {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a in set(texts) for b in set(texts)}
+    assert set(got.edited_sha256) <= halves
+
+
+@given(st.lists(st.tuples(*[st.lists(st.integers(0, 30), max_size=12)] * 2), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_pruned_likeness_equals_jaccard(pairs):
+    def sets(side):
+        rows = [sorted(set(p[side])) for p in pairs]
+        return spotsigs.Sets(np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=int))), np.array([x for r in rows for x in r], np.uint64))
+
+    assert spotsigs.likeness(sets(0), sets(1)).tolist() == [jaccard(set(a), set(b)) for a, b in pairs]
 
 
 def test_spotsigs_edges(spark):
