@@ -228,7 +228,7 @@ def signature_sets(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, chain: i
             data, offsets = common.string_buffers(batch.column(1))
             for a, b in common.slices(offsets, SLICE_BYTES):
                 sets = signatures(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], anchor_hashes, chain)
-                sigs = pa.ListArray.from_arrays(pa.array(sets.cuts, pa.int32()), pa.array((sets.sigs ^ np.uint64(1 << 63)).view(np.int64))  # in the same order)
+                sigs = pa.ListArray.from_arrays(pa.array(sets.cuts, pa.int32()), pa.array((sets.sigs ^ np.uint64(1 << 63)).view(np.int64)))  # signed, in the same order
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sigs], ["doc_id", "sigs"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text")).mapInArrow(run, "doc_id long, sigs array<long>")
