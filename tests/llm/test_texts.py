@@ -225,19 +225,60 @@ def test_op4(spark):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["cc", "CC-BY", "by", "general", "public", "license", "All rights", "reserved", ".", "-", "é", "x", "\n"]), max_size=14).map(" ".join))
 def test_base_phrases_equal_brute_force(text):
-    scanner = licenses.Scanner(licenses.Index.build())
-    starts, base, labels, _ = scanner.scan(re.sub("[A-Z]", lambda m: m[0].lower(), text).encode())
-    _, n, low, high, want = brute_license(text)
-    assert (len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base))) == (n, low, high, want) and base <= labels
+    ((n_words, starts, base, labels, _),) = license_rows([text])
+    want_words, n, low, high, want = brute_license(text)
+    assert (n_words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base))) == (want_words, n, low, high, want) and base <= labels
 
 
-@pytest.mark.parametrize("label,notice", [(t[0], t[1]) for t in licenses.TEMPLATES])
-def test_templates_are_found_with_small_changes(label, notice):
-    scanner = licenses.Scanner(licenses.Index.build())
+def license_rows(texts):
+    data, cuts = common.string_buffers(pa.array(texts, pa.large_string()))
+    return licenses.Scanner(licenses.Index.build()).scan(common.lower_ascii(data), cuts)
+
+
+@pytest.mark.parametrize("label,notice,keys", licenses.TEMPLATES)
+def test_templates_are_found_with_small_changes(label, notice, keys):
     words = notice.split()
-    text = "some words before " + " ".join([*words[:1], *words[1:]]) + " and after"
-    assert label in scanner.scan(text.encode())[2]
-    assert label not in scanner.scan(" ".join(reversed(words)).encode())[2] - {"cc-by"} or label == "cc-by"
+    # one word more, in none of the key phrases
+    inserted = next((t for k in range(len(words) // 3, len(words)) if all(x in (t := " ".join([*words[:k], "inserted", *words[k:]])) for x in keys)), notice)
+    texts = [
+        "some words before " + notice + " and after",
+        inserted if len(words) > 9 else notice,
+        " ".join(reversed(words)),
+        " ".join(words[: len(words) // 2]),
+    ]
+    found = license_rows(texts)
+    assert label in found[0][3] and found[0][4] == 1.0 and label in found[1][3]
+    # the words alone, or half of them, are no notice
+    assert not (found[2][3] | found[3][3]) - {"cc-by", "gpl"} - {t[0] for t in licenses.TEMPLATES if len(t[1].split()) < 8 or t[1] in texts[3]}
+
+
+def brute_templates(text):
+    """Every template tried at every alignment."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    found = set()
+    for label, notice, keys in licenses.TEMPLATES:
+        t = notice.split()
+        slack = max(licenses.SLACK, int(licenses.SLACK_SHARE * len(t)))
+        for align in range(-slack, len(words)):
+            window = words[max(0, align - slack) : align + len(t) + slack]
+            if licenses.verify(window, t, [k.split() for k in keys]) >= licenses.COVERAGE:
+                found.add(label)
+                break
+    return found
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 2**32 - 1))
+def test_labels_equal_all_alignments(seed):
+    rng = np.random.default_rng(seed)
+    words = []
+    for t in rng.integers(0, len(licenses.TEMPLATES), 3).tolist():
+        notice = licenses.TEMPLATES[t][1].split()
+        keep = rng.random(len(notice)) > rng.choice([0, 0.03, 0.3])
+        words += [*(f"w{i}" for i in rng.integers(0, 9, rng.integers(0, 12))), *(w for w, k in zip(notice, keep) if k)]
+    text = " ".join(words)
+    ((_, _, base, labels, _),) = license_rows([text])
+    assert labels == base | brute_templates(text)
 
 
 def test_license_edges(spark):
