@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +38,7 @@ class Run:
     forced: str | None
 
 
-def prepare(spark: SparkSession, paths: list[str], cwd: str = ".", config: str | None = None, ext: list[str] | None = None, as_format: str | None = None, exclude: list[str] | None = None, gitignore: bool | None = None, allow_empty: bool | None = None, stdin: str | None = None) -> Run:
+def prepare(spark: SparkSession, paths: list[str], cwd: str = ".", config: str | bool | None = None, ext: list[str] | None = None, as_format: str | None = None, exclude: list[str] | None = None, gitignore: bool | None = None, allow_empty: bool | None = None, stdin: str | None = None) -> Run:
     """Configuration, files and documents; typed paths are relative to ``cwd``, the configuration's to its folder."""
     settings = C.load(cwd, config)
     inputs = [p for p in (paths or settings.paths) if p != "-"]
@@ -159,15 +159,20 @@ def infer(run: Run, min_coverage: float = 0.0) -> Profile:
     return Profile(shown, I.outliers(found).join(shown.select("key"), "key"), totals["n"], totals["bare"], bad, keys.count() - shown.count())
 
 
-def fill(run: Run, provider: FI.Provider, schemas: list[str] = (), registry: Registry | None = None, options: FI.Options | None = None, dry_run: bool = False) -> tuple[DataFrame, dict[str, int]]:
-    """(results, summary); changed documents are written unless it is a dry run."""
+def fill(run: Run, provider: FI.Provider, schemas: list[str] = (), registry: Registry | None = None, options: FI.Options | None = None, dry_run: bool = False, cache: str | None = None) -> tuple[DataFrame, dict[str, Any]]:
+    """(results, summary); changed documents are written unless it is a dry run; ``cache`` is a file of stored proposals."""
+    options = options or FI.Options()
+    if cache:
+        options = replace(options, cached=FI.read_cache(cache) | options.cached)
     registry = registry or registry_of(run)
     extracted = X.extract(run.documents, run.forced, keep=("content",))
     resolved = S.resolve(extracted, run.config.rules(run.cwd, list(schemas), tuple(registry.aliases))).persist()
     refs = V.schema_refs(resolved)
     broken = V.compile_all(refs, registry)
     filled = FI.fill(resolved, registry, provider, [r for r, _ in refs if r not in broken], options).persist()
-    counts = FI.summary(filled).first().asDict()
+    counts = FI.summary(filled, options.prices).first().asDict()
+    if cache:
+        FI.store_cache(cache, filled)
     if not dry_run:
         failed = sinks.write_files(filled.where("changed AND file <> '<stdin>'"), run.base).where("error IS NOT NULL").count()
         counts["errors"] += failed

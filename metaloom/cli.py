@@ -6,7 +6,9 @@ import argparse
 import difflib
 import json
 import os
+import shlex
 import sys
+from typing import Any
 
 from metaloom import __version__
 from metaloom.operators.jsonschema import SchemaError
@@ -46,7 +48,8 @@ def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--ext", type=split_list, default=None)
     p.add_argument("--as", dest="as_format", default=None)
     p.add_argument("--exclude", action="append", default=[])
-    p.add_argument("--config", default=None)
+    p.add_argument("-c", "--config", default=None)
+    p.add_argument("--no-config", dest="config", action="store_false")
     p.add_argument("--gitignore", action=argparse.BooleanOptionalAction, default=None)
     p.add_argument("--allow-empty", action="store_true", default=None)
 
@@ -59,37 +62,76 @@ def parser() -> argparse.ArgumentParser:
     v = verbs.add_parser("validate")
     v.add_argument("paths", nargs="*")
     v.add_argument("-s", "--schema", action="append", default=[])
-    v.add_argument("--format", default="pretty", choices=("pretty", "json", "github", "sarif", "junit"))
-    v.add_argument("--quiet", action="store_true")
+    v.add_argument("-f", "--format", default="pretty", choices=("pretty", "json", "github", "sarif", "junit"))
+    v.add_argument("-q", "--quiet", action="store_true")
     v.add_argument("--offline", action="store_true", default=None)
-    v.add_argument("--baseline", default=None)
+    v.add_argument("--baseline", nargs="?", const=True, default=None)
     v.add_argument("--no-baseline", dest="baseline", action="store_false")
-    v.add_argument("--write-baseline", action="store_true")
+    v.add_argument("--write-baseline", nargs="?", const=True, default=False, metavar="path")
     g = verbs.add_parser("get")
     g.add_argument("first", nargs="?", metavar="fields")
     g.add_argument("paths", nargs="*")
     g.add_argument("--fields", default=None)
-    g.add_argument("--format", default="pretty", choices=("pretty", "json"))
-    g.add_argument("--quiet", action="store_true")
+    g.add_argument("-f", "--format", default="pretty", choices=("pretty", "json"))
+    g.add_argument("-q", "--quiet", action="store_true")
     f = verbs.add_parser("fill")
     f.add_argument("paths", nargs="*")
     f.add_argument("-s", "--schema", action="append", default=[])
-    f.add_argument("--answers", required=True, help="JSON file of key to [value, confidence] for the local table provider")
+    f.add_argument("--answers", default=None, help="JSON file of key to [value, confidence], the table provider")
+    f.add_argument("--command", default=None, help="program that reads a request and prints an answer as JSON, the command provider")
+    f.add_argument("--endpoint", default=None, help="address that takes the same request, the endpoint provider")
+    f.add_argument("--provider", default=None, help="table, command, endpoint or auto")
+    f.add_argument("--model", default=None)
+    f.add_argument("--local", action="store_true", help="local providers only")
+    f.add_argument("--fields", default=None)
+    f.add_argument("--max-turns", type=int, default=None)
+    f.add_argument("--chunk-chars", type=int, default=None)
+    f.add_argument("--concurrency", type=int, default=None)
+    f.add_argument("--no-cache", dest="cache", action="store_false", default=True)
+    f.add_argument("--offline", action="store_true", default=None)
     f.add_argument("--confidence", type=float, default=None)
     f.add_argument("--dry-run", action="store_true")
-    f.add_argument("--format", default="pretty", choices=("pretty", "json", "github"))
+    f.add_argument("-f", "--format", default="pretty", choices=("pretty", "json", "github"))
     s = verbs.add_parser("schemas")
     s.add_argument("action", nargs="?", default="list", choices=("list", "infer", "vendor"))
     s.add_argument("paths", nargs="*")
     s.add_argument("--min-coverage", type=float, default=0.0)
     s.add_argument("--out", default=None)
-    s.add_argument("--folder", default="schemas")
-    s.add_argument("--format", default="pretty", choices=("pretty", "json"))
+    s.add_argument("--folder", "--dir", default="schemas")
+    s.add_argument("-f", "--format", default="pretty", choices=("pretty", "json"))
     for p in (v, g, f, s):
         _common(p)
     return top
 
 
+def _baseline(args: argparse.Namespace, configured: str | bool | None) -> tuple[Any, bool]:
+    """(path, whether to write it): a flag without a path means the configured file, or the usual one."""
+    usual = configured if isinstance(configured, str) else BASELINE
+    if args.write_baseline:
+        path = args.write_baseline if isinstance(args.write_baseline, str) else args.baseline
+        return (path if isinstance(path, str) else usual), True
+    return (usual if args.baseline is True else args.baseline), False
+
+
+#: The usual baseline file.
+BASELINE = ".metaloom-baseline.json"
+
+
+def _providers(args: argparse.Namespace, model: str | None, cwd: str) -> dict[str, Any]:
+    """The providers that the command line describes, in the order in which "auto" takes them."""
+    from metaloom.operators import fill as FI
+
+    found: dict[str, Any] = {}
+    if args.answers is not None:
+        with open(os.path.join(cwd, args.answers), encoding="utf-8") as f:
+            found["table"] = FI.MockProvider({k: tuple(v) for k, v in json.load(f).items()})
+    if args.command is not None:
+        found["command"] = FI.CommandProvider(tuple(shlex.split(args.command)), model or "default")
+    if args.endpoint is not None:
+        found["endpoint"] = FI.EndpointProvider(args.endpoint, model or "default")
+    return found
+
+
 def main(argv: list[str] | None = None, spark=None, cwd: str = ".", out=None) -> int:
     """Runs a command; 0 for success, 1 for findings, 2 for a failure of the run itself."""
     argv = sys.argv[1:] if argv is None else argv
@@ -135,7 +177,7 @@ def _run(args: argparse.Namespace, spark, cwd: str, say) -> int:
     run = api.prepare(spark, args.paths, cwd, args.config, args.ext, args.as_format, args.exclude, args.gitignore, args.allow_empty, stdin)
     color = use_color(args.color)
     if args.verb == "validate":
-        done = api.validate(run, args.schema, api.registry_of(run, args.offline), args.baseline, args.write_baseline)
+        done = api.validate(run, args.schema, api.registry_of(run, args.offline), *_baseline(args, run.config.baseline))
         for line in done.report(args.format, args.quiet, color and args.format == "pretty"):
             say(line)
         return done.exit_code
@@ -144,13 +186,21 @@ def _run(args: argparse.Namespace, spark, cwd: str, say) -> int:
             say(line)
         return 0
     if args.verb == "fill":
-        with open(os.path.join(cwd, args.answers), encoding="utf-8") as f:
-            answers = {k: tuple(v) for k, v in json.load(f).items()}
-        threshold = args.confidence if args.confidence is not None else run.config.fill.get("confidence", FI.CONFIDENCE)
+        settings = run.config.fill
+        threshold = args.confidence if args.confidence is not None else settings.get("confidence", FI.CONFIDENCE)
         if not 0 <= threshold <= 1:
             raise ValueError("the confidence must be between 0 and 1")
-        options = FI.Options(threshold, int(run.config.fill.get("chunkChars", FI.CHUNK_CHARS)))
-        filled, counts = api.fill(run, FI.MockProvider(answers), args.schema, options=options, dry_run=args.dry_run)
+        whole = {}
+        for key, given in (("maxTurns", args.max_turns), ("chunkChars", args.chunk_chars), ("concurrency", args.concurrency)):
+            whole[key] = settings.get(key) if given is None else given
+            if whole[key] is not None and whole[key] < 1:
+                raise ValueError(f"{key} must be at least 1")
+        only = frozenset(split_list(args.fields)) if args.fields else None
+        options = FI.Options(threshold, int(whole["chunkChars"] or FI.CHUNK_CHARS), only, whole["maxTurns"], concurrency=whole["concurrency"])
+        model = args.model or settings.get("model")
+        provider = FI.pick_provider(_providers(args, model, cwd), args.provider or settings.get("provider"), model, args.local)
+        cache = os.path.join(cwd, ".metaloom", "proposals.jsonl") if args.cache else None
+        filled, counts = api.fill(run, provider, args.schema, api.registry_of(run, args.offline), options, args.dry_run, cache)
         rows = {"pretty": FI.pretty_rows, "json": FI.json_rows, "github": FI.github_rows}[args.format](filled)
         for row in rows.orderBy("file").toLocalIterator():
             say(row["line"])

@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
-from collections.abc import Iterator
+import subprocess
+import urllib.parse
+import urllib.request
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +32,10 @@ from .jsonschema import Evaluator, SchemaError, Violation
 CONFIDENCE, CHUNK_CHARS, PROMPT_VERSION = 0.7, 12_000, "1"
 
 
+#: Where an answer may carry the tokens it took: {"input": n, "output": n}.
+USAGE = "$usage"
+
+
 class ProviderError(RuntimeError):
     """A proposal that couldn't be made; ``overflow`` if the text was too long."""
 
@@ -57,6 +66,66 @@ class MockProvider:
         return {k: {"value": v, "confidence": c, "reasoning": "a table says so"} for k, (v, c) in self.answers.items() if k in wanted}
 
 
+@dataclass(frozen=True)
+class CommandProvider:
+    """A program that reads the prompt and the answer's schema as JSON and prints its answer as JSON."""
+
+    command: tuple[str, ...]
+    model: str = "default"
+    name: str = "command"
+    local: bool = True
+    timeout: float = 120.0
+
+    def propose(self, prompt: str, envelope: dict[str, Any]) -> dict[str, Any]:
+        request = json.dumps({"model": self.model, "prompt": prompt, "schema": envelope})
+        try:
+            done = subprocess.run(self.command, input=request, capture_output=True, text=True, timeout=self.timeout, check=False)
+        except (OSError, subprocess.TimeoutExpired) as e:
+            raise ProviderError(f"the provider's program can't be run: {e}") from None
+        if done.returncode:
+            raise ProviderError(done.stderr.strip() or f"the provider's program ended with {done.returncode}")
+        return _answer(done.stdout)
+
+
+@dataclass(frozen=True)
+class EndpointProvider:
+    """An address that takes the same request by POST; local if it is this machine's."""
+
+    url: str
+    model: str = "default"
+    name: str = "endpoint"
+    timeout: float = 120.0
+    #: (url, body, seconds) to the answer's text; a test's own, or urllib.
+    post: Callable[[str, bytes, float], str] | None = None
+
+    @property
+    def local(self) -> bool:
+        return (urllib.parse.urlsplit(self.url).hostname or "") in ("localhost", "127.0.0.1", "::1")
+
+    def propose(self, prompt: str, envelope: dict[str, Any]) -> dict[str, Any]:
+        body = json.dumps({"model": self.model, "prompt": prompt, "schema": envelope}).encode()
+        try:
+            return _answer((self.post or _post)(self.url, body, self.timeout))
+        except OSError as e:
+            raise ProviderError(f"the provider can't be reached: {e}") from None
+
+
+def _post(url: str, body: bytes, timeout: float) -> str:
+    request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=timeout) as got:
+        return got.read().decode()
+
+
+def _answer(text: str) -> dict[str, Any]:
+    try:
+        got = json.loads(text)
+    except ValueError:
+        got = None
+    if not isinstance(got, dict):
+        raise ProviderError("the provider's answer is no JSON object")
+    return got
+
+
 def pick_provider(providers: dict[str, Provider], name: str | None = None, model: str | None = None, local_only: bool = False) -> Provider:
     """The named provider, or the first for "auto"; hosted ones are refused with ``local_only``."""
     if model is not None and name in (None, "auto"):
@@ -220,8 +289,12 @@ class Options:
     threshold: float = CONFIDENCE
     chunk_chars: int = CHUNK_CHARS
     only: frozenset[str] | None = None
-    #: Calls that one partition may make; None for no bound.
+    #: Calls that the run may make; None for no bound.
     max_turns: int | None = None
+    #: Documents that are asked about at the same time; None for as many as there are partitions.
+    concurrency: int | None = None
+    #: Price of a million tokens read and written.
+    prices: tuple[float, float] | None = None
     cached: dict[str, dict[str, Any]] = field(default_factory=dict)
 
 
@@ -232,12 +305,13 @@ class Filled:
     changed: bool
     error: str | None = None
     calls: int = 0
+    tokens: tuple[int, int] = (0, 0)
     from_cache: bool = False
     key: str | None = None
     proposals: dict[str, Any] = field(default_factory=dict)
 
 
-def _ask(provider: Provider, file: str, data: dict, wanted: list[Candidate], content: str, answer: dict, options: Options, spend) -> dict[str, Any]:
+def _ask(provider: Provider, file: str, data: dict, wanted: list[Candidate], content: str, answer: dict, options: Options, spend, used) -> dict[str, Any]:
     # the shape of the answer; values that break their rule are taken back one by one later
     check = Evaluator(envelope([Candidate(c.key, {}, c.required, c.present) for c in wanted], {}))
 
@@ -246,6 +320,8 @@ def _ask(provider: Provider, file: str, data: dict, wanted: list[Candidate], con
         for i, part in enumerate(parts):
             spend()
             got = provider.propose(prompt(file, data, wanted, part, (i, len(parts))), answer)
+            got = dict(got)
+            used(got.pop(USAGE, None))
             if found := check.evaluate(got):
                 raise ProviderError(f"the answer breaks its contract: {found[0].path} {found[0].message}")
             out.append(got)
@@ -273,20 +349,25 @@ def fill_one(file: str, name: str, content: str, data: dict[str, Any], refs: lis
     if why := W.can_write(name, content, file):
         return Filled([], content, False, why)
     key = cache_key(provider, options.chunk_chars, refs, wanted, content)
-    calls = 0
+    calls, tokens = 0, [0, 0]
 
     def count() -> None:
         nonlocal calls
         spend()
         calls += 1
 
+    def used(usage: Any) -> None:
+        for i, k in enumerate(("input", "output")):
+            n = usage.get(k) if isinstance(usage, dict) else None
+            tokens[i] += n if isinstance(n, int) and not isinstance(n, bool) and n > 0 else 0
+
     proposals = options.cached.get(key)
     from_cache = proposals is not None
     if proposals is None:
         try:
-            proposals = _ask(provider, file, data, wanted, content, envelope(wanted, definitions), options, count)
+            proposals = _ask(provider, file, data, wanted, content, envelope(wanted, definitions), options, count, used)
         except (ProviderError, SchemaError) as e:
-            return Filled([], content, False, str(e), calls)
+            return Filled([], content, False, str(e), calls, tuple(tokens))
     fields = gate(wanted, proposals, options.threshold)
     patch = {f["key"]: f["value"] for f in fields if f["reason"] is None}
     # what would still break its contract is taken back
@@ -296,7 +377,7 @@ def fill_one(file: str, name: str, content: str, data: dict[str, Any], refs: lis
         if f["reason"] is None and f["key"] in broken:
             f["reason"] = "schema-mismatch"
             patch.pop(f["key"])
-    out = Filled(fields, content, False, None, calls, from_cache, key, proposals)
+    out = Filled(fields, content, False, None, calls, tuple(tokens), from_cache, key, proposals)
     if patch:
         try:
             out.content = W.apply(name, content, patch, file)
@@ -310,19 +391,28 @@ FIELD = "struct<key:string,required:boolean,confidence:double,reasoning:string,v
 
 
 def fill(resolved: DataFrame, registry: Registry, provider: Provider, refs: list[str], options: Options | None = None) -> DataFrame:
-    """file, format, fields, content, changed, error, calls, cached, cache_key, proposals of every document.
+    """file, format, fields, content, changed, error, calls, tokens, cached, cache_key, proposals of every document.
 
-    ``resolved`` has content beside the columns of ``resolve``.  ``max_turns`` bounds the
-    calls of a partition: a bound on the whole run is that divided by the partitions,
-    since executors share no counter; documents beyond it get an error, none is lost.
+    ``resolved`` has content beside the columns of ``resolve``.  ``concurrency`` is the
+    number of partitions.  Executors share no counter, so each partition has its share of
+    ``max_turns``; the run never makes more calls.  Documents beyond it get an error,
+    none is lost.
     """
     options = options or Options()
+    if options.concurrency is not None:
+        resolved = resolved.repartition(options.concurrency)
+    elif options.max_turns is not None:
+        resolved = resolved.repartition(max(1, min(options.max_turns, resolved.sparkSession.sparkContext.defaultParallelism)))
+    partitions = options.concurrency or max(1, min(options.max_turns or 1, resolved.sparkSession.sparkContext.defaultParallelism))
     evaluators = {r: registry.compile(r) for r in refs}
-    kinds = {"format": pa.string(), "content": pa.string(), "changed": pa.bool_(), "error": pa.string(), "calls": pa.int32(), "cached": pa.bool_(), "cache_key": pa.string(), "proposals": pa.string()}
+    kinds = {"format": pa.string(), "content": pa.string(), "changed": pa.bool_(), "error": pa.string(), "calls": pa.int32(), "input_tokens": pa.int64(), "output_tokens": pa.int64(), "cached": pa.bool_(), "cache_key": pa.string(), "proposals": pa.string()}
     item = pa.struct([("key", pa.string()), ("required", pa.bool_()), ("confidence", pa.float64()), ("reasoning", pa.string()), ("value", pa.string()), ("reason", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = options.max_turns
+        if left is not None:
+            own = TaskContext.get().partitionId()
+            left = left // partitions + (own < left % partitions)
 
         def spend() -> None:
             nonlocal left
@@ -350,6 +440,8 @@ def fill(resolved: DataFrame, registry: Registry, provider: Provider, refs: list
                 "changed": [d.changed for *_, d in rows],
                 "error": [d.error for *_, d in rows],
                 "calls": [d.calls for *_, d in rows],
+                "input_tokens": [d.tokens[0] for *_, d in rows],
+                "output_tokens": [d.tokens[1] for *_, d in rows],
                 "cached": [d.from_cache for *_, d in rows],
                 "cache_key": [d.key for *_, d in rows],
                 "proposals": [json.dumps(d.proposals) for *_, d in rows],
@@ -357,12 +449,40 @@ def fill(resolved: DataFrame, registry: Registry, provider: Provider, refs: list
             arrays = [pa.array([f for f, *_ in rows], pa.string()), pa.array(fields, pa.list_(item)), *[pa.array(v, kinds[k]) for k, v in columns.items()]]
             yield pa.RecordBatch.from_arrays(arrays, ["file", "fields", *columns])
 
-    schema = f"file string, fields array<{FIELD}>, format string, content string, changed boolean, error string, calls int, cached boolean, cache_key string, proposals string"
+    schema = f"file string, fields array<{FIELD}>, format string, content string, changed boolean, error string, calls int, input_tokens long, output_tokens long, cached boolean, cache_key string, proposals string"
     return resolved.select("file", "format", "content", "data_json", "schemas", "error", "schema_error").mapInArrow(run, schema)
 
 
-def summary(filled: DataFrame) -> DataFrame:
-    """files, changed, written, skipped, required_skipped, errors, calls, cached of a run."""
+def read_cache(path: str) -> dict[str, dict[str, Any]]:
+    """Stored proposals by key; a line that can't be read is left out."""
+    out: dict[str, dict[str, Any]] = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                try:
+                    row = json.loads(line)
+                    out[row["key"]] = row["proposals"]
+                except (ValueError, KeyError, TypeError):
+                    continue
+    return out
+
+
+def store_cache(path: str, filled: DataFrame) -> int:
+    """Adds the proposals that this run asked for; returns how many."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    n = 0
+    fresh = filled.where("NOT cached AND cache_key IS NOT NULL AND proposals <> '{}'").select("cache_key", "proposals").dropDuplicates(["cache_key"])
+    with open(path, "a", encoding="utf-8") as out:
+        for row in fresh.orderBy("cache_key").toLocalIterator():
+            out.write(f'{{"key": {json.dumps(row["cache_key"])}, "proposals": {row["proposals"]}}}\n')
+            n += 1
+    return n
+
+
+def summary(filled: DataFrame, prices: tuple[float, float] | None = None) -> DataFrame:
+    """files, changed, written, skipped, required_skipped, errors, calls, tokens, cost and cached of a run; no prices, no cost."""
+    read, wrote = (F.coalesce(F.sum(f"{k}_tokens"), F.lit(0)) for k in ("input", "output"))
+    cost = F.lit(None).cast("double") if prices is None else (read * F.lit(prices[0]) + wrote * F.lit(prices[1])) / F.lit(1e6)
     written = F.size(F.filter("fields", lambda f: f["reason"].isNull()))
     skipped = F.filter("fields", lambda f: f["reason"].isNotNull())
     return filled.agg(
@@ -373,6 +493,9 @@ def summary(filled: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.size(F.filter(skipped, lambda f: f["required"]))), F.lit(0)).alias("required_skipped"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
         F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"),
+        read.alias("input_tokens"),
+        wrote.alias("output_tokens"),
+        cost.alias("cost"),
         F.count_if("cached").alias("cached"),
     )
 

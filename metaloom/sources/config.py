@@ -156,8 +156,10 @@ def parse(text: str, folder: str = ".", path: str | None = None) -> Config:
     return out
 
 
-def load(cwd: str, explicit: str | None = None) -> Config:
-    """The explicit file, which must be there, or the one that is found, or nothing."""
+def load(cwd: str, explicit: str | bool | None = None) -> Config:
+    """The explicit file, which must be there, or the one that is found, or nothing; False looks for none."""
+    if explicit is False:
+        return Config(cwd)
     path = os.path.join(cwd, explicit) if explicit else discover(cwd)
     if path is None:
         return Config(cwd)

@@ -1,6 +1,7 @@
 """Inference, fill and writers."""
 
 import json
+import sys
 
 import pytest
 
@@ -167,3 +168,70 @@ def test_fill_turns_and_cache(spark, tmp_path):
     assert none["errors"] == 3
     with pytest.raises(ValueError):
         FI.pick_provider({"mock": provider}, None, "m")
+
+
+def test_max_turns_bounds_the_run(spark, tmp_path):
+    for i in range(9):
+        (tmp_path / f"{i}.md").write_text(f"---\ntitle: T{i}\n---\n")
+    run = api.prepare(spark, ["."], str(tmp_path))
+    provider = FI.MockProvider({"type": ("guide", 0.9)})
+    for turns, concurrency in ((4, None), (4, 2), (5, 3), (100, 4)):
+        _, counts = api.fill(run, provider, options=FI.Options(max_turns=turns, concurrency=concurrency), dry_run=True)
+        assert counts["calls"] <= turns and counts["calls"] + counts["errors"] == 9
+    assert counts["calls"] == 9
+
+
+PROGRAM = """
+import json, sys
+request = json.load(sys.stdin)
+open(sys.argv[1], "a").write("x")
+if "T3" in request["prompt"]:
+    sys.exit("no idea")
+found = {"type": {"value": request["model"], "confidence": 0.9, "reasoning": "r"}}
+print(json.dumps({k: v for k, v in found.items() if k in request["schema"]["properties"]} | {"$usage": {"input": 10, "output": 3}}))
+"""
+
+
+def test_command_provider_cache_usage_and_flags(spark, tmp_path, capsys):
+    for i in range(4):
+        (tmp_path / f"{i}.md").write_text(f"---\ntitle: T{i}\n---\n")
+    (tmp_path / "p.py").write_text(PROGRAM)
+    (tmp_path / "metaloom.config.yaml").write_text("fill:\n  model: guide\n  provider: command\n  concurrency: 2\n")
+    words = ["fill", "0.md", "1.md", "2.md", "3.md", "--command", f"{sys.executable} {tmp_path}/p.py {tmp_path}/calls", "--fields", "type", "--dry-run"]
+    assert main(words, spark, str(tmp_path)) == 1
+    counts = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert (counts["calls"], counts["input_tokens"], counts["output_tokens"], counts["written"], counts["errors"], counts["cost"]) == (4, 30, 9, 3, 1, None)
+    # stored proposals are used again, unless the cache is off; prices give a cost
+    main(words, spark, str(tmp_path))
+    assert (tmp_path / "calls").read_text() == "xxxxx" and json.loads(capsys.readouterr().out.splitlines()[-1])["cached"] == 3
+    main([*words, "--no-cache", "--max-turns", "2"], spark, str(tmp_path))
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["calls"] <= 2
+    filled = FI.fill(spark.createDataFrame([], "file string, format string, content string, data_json string, schemas array<string>, error string, schema_error string"), api.Registry(), FI.MockProvider({}), [])
+    assert FI.summary(filled, (3.0, 15.0)).first()["cost"] == 0.0
+    # a model needs a named provider, an unknown one is refused, so is none at all
+    for more in (["--no-config", "--model", "m"], ["--provider", "other"]):
+        assert main([*words, *more], spark, str(tmp_path)) == 2
+    assert main(["fill", "0.md", "--no-config"], spark, str(tmp_path)) == 2
+
+
+def test_endpoint_provider():
+    asked = []
+    here = FI.EndpointProvider("http://localhost:1/x", "m", post=lambda url, body, seconds: asked.append(json.loads(body)) or '{"type": 1}')
+    assert here.local and here.propose("p", {"properties": {}}) == {"type": 1} and asked == [{"model": "m", "prompt": "p", "schema": {"properties": {}}}]
+    far = FI.EndpointProvider("https://example.com/x", post=lambda *_: "[]")
+    with pytest.raises(FI.ProviderError):
+        far.propose("p", {})
+    assert not far.local
+    with pytest.raises(ValueError):
+        FI.pick_provider({"endpoint": far}, "endpoint", None, local_only=True)
+    with pytest.raises(FI.ProviderError):
+        FI.EndpointProvider("http://localhost:9/none", timeout=1).propose("p", {})
+
+
+def test_baseline_flags_without_a_path(spark, tmp_path):
+    (tmp_path / "a.md").write_text("---\ntitle: T\n---\n")
+    assert main(["validate", "a.md", "-q"], spark, str(tmp_path)) == 1
+    assert main(["validate", "a.md", "--write-baseline"], spark, str(tmp_path)) == 0 and (tmp_path / ".metaloom-baseline.json").exists()
+    assert main(["validate", "a.md", "--baseline", "-f", "json"], spark, str(tmp_path)) == 0
+    assert main(["validate", "a.md", "--write-baseline", "other.json"], spark, str(tmp_path)) == 0 and (tmp_path / "other.json").exists()
+    assert main(["validate", "a.md", "--baseline", "other.json", "--no-config"], spark, str(tmp_path)) == 0
