@@ -81,8 +81,9 @@ def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of the format tests the texts of dates, times and addresses pass."""
-    o = R.table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    """Which of the format tests the texts of dates and times pass; every third date has slashes."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    o = R.table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.replace(day, F.lit("-"), F.lit("/"))).otherwise(day).alias("d"))
     stamp = F.concat("d", F.lit("T10:00:00Z"))
     found = [F.col("d").rlike(I.DATE).alias("is_date"), stamp.rlike(I.DATE_TIME).alias("is_stamp"), F.col("d").rlike(I.DATE_TIME).alias("date_is_stamp"), stamp.rlike(FORMATS["date-time"]).alias("good_stamp"), F.concat("d", F.lit("T25:00:00Z")).rlike(FORMATS["date-time"]).alias("bad_stamp")]
     return o.select("o_orderkey", *found)
@@ -130,7 +131,7 @@ ORACLES = {
     "kept_files": f"WITH {_LISTING} SELECT file, file NOT LIKE 'docs/2/%' AS kept FROM seen",
     "united_files": f"WITH {_LISTING} SELECT file FROM seen WHERE file LIKE '%.html' UNION SELECT file FROM listing WHERE file LIKE 'docs/1/%'",
     "violation_prints": """SELECT event_id, left(sha256('google:okf:0.1' || chr(0) || '/' || event_type || chr(0) || 'type' || chr(0) || CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END), 16) AS fingerprint FROM events""",
-    "format_tests": "SELECT o_orderkey, true AS is_date, true AS is_stamp, false AS date_is_stamp, true AS good_stamp, false AS bad_stamp FROM orders",
+    "format_tests": "SELECT o_orderkey, o_orderkey % 3 <> 0 AS is_date, o_orderkey % 3 <> 0 AS is_stamp, false AS date_is_stamp, o_orderkey % 3 <> 0 AS good_stamp, false AS bad_stamp FROM orders",
     "report_cells": "SELECT l_returnflag, format('{:,}', count(*)) AS count, printf('%.1f%%', count(*) / 1000.0) AS percent FROM lineitem GROUP BY l_returnflag",
     "fill_summary": """WITH c AS (SELECT count(*) AS n, count(*) FILTER (url NOT LIKE 'https://%') AS bare FROM pages)
         SELECT n AS files, n AS changed, n AS written, (bare + 3 * n)::BIGINT AS skipped, bare AS required_skipped, 0::BIGINT AS errors FROM c""",

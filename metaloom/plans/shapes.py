@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaloom.functions import values
 from metaloom.functions.pointers import look_up_column
+from metaloom.operators import baseline as B
 from metaloom.operators import extract as X
 from metaloom.operators import fields as G
+from metaloom.operators import fill as FI
 from metaloom.operators import infer as I
 from metaloom.operators import resolve as S
 from metaloom.operators import validate as V
@@ -187,7 +190,95 @@ def synthetic_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", "ord", "schema", "instance_path", "keyword", "line")
 
 
+class _Counted(FI.MockProvider):
+    """The table provider, with the tokens that its answers took."""
+
+    def propose(self, prompt: str, envelope: dict) -> dict:
+        return super().propose(prompt, envelope) | {FI.USAGE: {"input": 10, "output": 3}}
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = S.resolve(X.extract(_pages(spark, sf_dir), keep=("content",)), S.Rules())
+    return FI.fill(resolved, Registry(), _Counted({"type": ("page", 0.4)}), list(DEFAULT_SET))
+
+
+def fill_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, tokens and cost of a run."""
+    return FI.summary(_filled(spark, sf_dir), (3.0, 15.0)).select("files", "calls", "input_tokens", "output_tokens", F.round("cost", 9).alias("cost"))
+
+
+def fill_github(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations of required fields that weren't filled."""
+    return FI.github_rows(_filled(spark, sf_dir))
+
+
+def fill_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in pieces of at most 500 characters that, joined, are the text."""
+
+    @F.pandas_udf("array<string>")
+    def split(texts):
+        return texts.map(lambda t: FI.split_body(t or "", 500))
+
+    d = R.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("parts", split("text"))
+    longest = F.array_max(F.transform("parts", F.char_length))
+    return d.select("doc_id", (F.array_join("parts", "") == F.col("text")).alias("lossless"), (longest <= 500).alias("fits"), (F.size("parts") == 1).alias("single"))
+
+
+def fill_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals of two parts of a text: the surer one, the earlier one of equals."""
+
+    @F.pandas_udf("string")
+    def merged(first, second):
+        sets = ([{"x": {"value": v, "confidence": c / 10}} for v, c in zip("ab", pair)] for pair in zip(first, second))
+        return first.__class__([FI.merge_proposals(list(s))["x"]["value"] for s in sets], index=first.index, dtype=object)
+
+    s = _suppliers(spark, sf_dir)
+    return s.select("k", merged(F.col("k") % 7, F.col("n").cast("long") % 7).alias("taken"))
+
+
+def trusted_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local trust: built-in contracts and files inside of the root, no others."""
+    shape = F.col("k") % 4
+    own = F.when(shape == 0, "google:okf:0.1").when(shape == 1, "schemas/a.json").when(shape == 2, "schemas/../../b.json").otherwise("https://x.test/a.json")
+    content = F.concat(F.lit(';;;\n{"$schema":"'), own, F.lit('"}\n;;;\n'))
+    rows = X.extract(_suppliers(spark, sf_dir).select(F.concat(F.col("k").cast("string"), F.lit(".md")).alias("file"), content.alias("content")))
+    found = S.resolve(rows, S.Rules(trust=S.Trust("local", root="/data/docs")))
+    return found.select("file", "source", F.col("schema_error").isNotNull().alias("refused"))
+
+
+def baseline_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries and prints of a baseline that lies in another folder than the run: file references and paths are told from there."""
+    ref = F.when(F.col("k") % 2 == 0, "c.json").otherwise("google:okf:0.1")
+    found = _suppliers(spark, sf_dir).select(F.concat(F.lit("x/../"), F.col("k").cast("string"), F.lit(".md")).alias("file"), ref.alias("schema"), F.lit("/a").alias("instance_path"), F.lit("type").alias("keyword"), F.lit(None).cast("string").alias("subject"))
+    base = B.Base("/w/base", "/w/run/docs", "/w/run")
+    return B.build(B.with_fingerprints(found, base, ["c.json", "google:okf:0.1"])).select("file", F.array_join("fingerprints", ",").alias("fingerprints"))
+
+
+def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON with its keys in order, and whether two texts hold the same value."""
+
+    @F.pandas_udf("string")
+    def ordered(texts):
+        return texts.map(lambda t: values.canonical(values.load(t)))
+
+    @F.pandas_udf("boolean")
+    def alike(a, b):
+        return a.combine(b, lambda x, y: values.same(values.load(x), values.load(y)))
+
+    k, n = F.col("k").cast("string"), F.col("n")
+    text = F.concat(F.lit('{"b": '), k, F.lit(', "a": ['), n, F.lit(', {"z": 1, "y": null}]}'))
+    other = F.concat(F.lit('{"a":['), n, F.lit(',{"y":null,"z":1}],"b":'), F.when(F.col("k") % 3 == 0, F.concat(k, F.lit(".5"))).otherwise(k), F.lit("}"))
+    return _suppliers(spark, sf_dir).select("k", ordered(text).alias("canonical"), alike(text, other).alias("same"))
+
+
 QUERIES = {
+    "fill_usage": fill_usage,
+    "fill_github": fill_github,
+    "fill_chunks": fill_chunks,
+    "fill_merged": fill_merged,
+    "resolve_trust": trusted_contracts,
+    "baseline_paths": baseline_paths,
+    "canonical_values": canonical_values,
     "extract_odd_fences": odd_fences,
     "extract_html_meta": html_meta,
     "extract_dita_signs": dita_signs,
@@ -210,6 +301,13 @@ _O = """o AS (SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS day,
 _ERRORS = """bare AS (SELECT 'docs/' || page_id || '.md' AS file, url NOT LIKE 'https://%' AS bad FROM pages)"""
 
 ORACLES = {
+    "fill_usage": "SELECT count(*) AS files, count(*) AS calls, 10 * count(*) AS input_tokens, 3 * count(*) AS output_tokens, round(count(*) * 75 / 1e6, 9) AS cost FROM pages",
+    "fill_github": f"WITH {_ERRORS} SELECT file, '::error file=' || file || '::/type required field not filled: low-confidence' AS line FROM bare WHERE bad",
+    "fill_chunks": "SELECT doc_id, true AS lossless, true AS fits, length(coalesce(text, '')) <= 500 AS single FROM documents",
+    "fill_merged": f"WITH {_S} SELECT k, CASE WHEN n % 7 > k % 7 THEN 'b' ELSE 'a' END AS taken FROM s",
+    "resolve_trust": f"WITH {_S} SELECT k || '.md' AS file, 'document' AS source, k % 4 >= 2 AS refused FROM s",
+    "baseline_paths": f"""WITH {_S} SELECT '../run/docs/' || k || '.md' AS file, left(sha256(CASE WHEN k % 2 = 0 THEN '../run/c.json' ELSE 'google:okf:0.1' END || chr(0) || '/a' || chr(0) || 'type' || chr(0)), 16) AS fingerprints FROM s""",
+    "canonical_values": f"""WITH {_S} SELECT k, '{{"a":[' || n || ',{{"y":null,"z":1}}],"b":' || k || '}}' AS canonical, k % 3 <> 0 AS same FROM s""",
     "extract_odd_fences": f"""WITH {_S} SELECT k || CASE k % 5 WHEN 0 THEN '.adoc' WHEN 1 THEN '.rst' WHEN 2 THEN '.md' WHEN 3 THEN '.mdx' ELSE '.asciidoc' END AS file,
         CASE k % 5 WHEN 1 THEN 'rst' WHEN 2 THEN 'markdown' WHEN 3 THEN 'mdx' ELSE 'asciidoc' END AS format, k % 5 <> 3 AS present,
         CASE WHEN k % 5 <> 3 THEN '"' || nm || '"' END AS title, CASE k % 5 WHEN 4 THEN 1 WHEN 3 THEN NULL ELSE 2 END AS title_line,
