@@ -20,9 +20,9 @@ only its own class and the next; within those a pair meets at the rarest signatu
 prefix (a set of n signatures needs n - ceil(threshold * n) + 1 of them, so no pair is
 lost), and a candidate is verified by a merge that stops when the bound can't be met.
 
-Documents are put in order of doc_id by one range shuffle of their texts, whose ranges split
-an id of many rows too; where ranges meet, the rows at their ends are compared in a second,
-small step.
+Documents are put in order of doc_id by one shuffle of their texts to ranges of doc_id, an id
+of many rows being several ranges by a hash of the text; the first text of each range goes
+to the range before it as well.
 
 Defined results: null texts are empty; equal texts have equal fingerprints and
 likeness 1; two empty fingerprints are alike (1), an empty and another are not
@@ -37,12 +37,13 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,8 @@ ANCHORS = tuple(
 )
 CHAIN = 2
 _NULL_ID = -(1 << 63)
+#: Ranges of doc_id for each shuffle partition, so that partitions get about the same.
+SLICES_A_PARTITION = 4
 #: Bytes of text signed at a time; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
 
@@ -149,74 +152,78 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """slice, doc_id, digest, text, extra: every range of rows, followed (extra) by the first row of the next."""
+    ranges = ranges or SLICES_A_PARTITION * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), common.text_column(docs).alias("text"))
+    cuts = rows.select(F.percentile_approx("id", F.lit([i / ranges for i in range(1, ranges)] or [0.5]), F.lit(10000)).alias("cuts")).first()["cuts"] or []
+    times = Counter(float(c) for c in cuts) if ranges > 1 else {}
+    # an id at several cuts is a range by itself
+    splits = sorted({x for c, n in times.items() for x in ((c, math.nextafter(c, math.inf)) if n > 1 else (c,))})
+    by_range = Bucketizer(splits=[-math.inf, *(splits or [0.0]), math.inf], inputCol="as_double", outputCol="range").transform(rows.withColumn("as_double", F.col("id").cast("double")))
+    by_range = by_range.withColumn("range", F.col("range").cast("long"))
+    parts = F.lit(1)
+    many = {bisect.bisect_right(splits, c): n for c, n in times.items() if n > 1}
+    if many:
+        # at most a row for two cuts
+        single = by_range.where(F.col("range").isin(list(many))).groupBy("range").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a = b").collect()
+        for r in single:
+            parts = F.when(F.col("range") == r["range"], F.lit(many[r["range"]])).otherwise(parts)
+    digest = F.xxhash64("text")
+    part = F.least(F.floor((digest / F.lit(2.0**64) + 0.5) * parts).cast("long"), parts - 1)
+    placed = by_range.select((F.col("range") * ranges + F.when(parts > 1, part).otherwise(F.lit(0))).alias("slice"), "id", digest.alias("digest"), "text")
+    heads = placed.groupBy("slice").agg(F.min(F.struct("id", "digest")).alias("head"))
+    around = Window.orderBy("slice")
+    last = F.max("slice").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    # a row for each range
+    heads = heads.select(F.coalesce(F.lag("slice").over(around), last).alias("before"), F.col("head.id").alias("head_id"), F.col("head.digest").alias("head_digest"))
+    found = placed.join(F.broadcast(heads), (F.col("id") == F.col("head_id")) & (F.col("digest") == F.col("head_digest")))
+    extra = found.groupBy("before").agg(F.first("id").alias("id"), F.first("digest").alias("digest"), F.first("text").alias("text")).withColumnRenamed("before", "slice")
+    return placed.withColumn("extra", F.lit(False)).unionByName(extra.withColumn("extra", F.lit(True)))
+
+
 def edited_fingerprints(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN, ranges: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     common.bound_batches(docs.sparkSession)
     anchor_hashes = np.sort(_hash_words([a.encode() for a in anchors]))
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    def signed(rows: list[tuple[int | None, str]], following: list[str]) -> list[pa.Array]:
-        """The results of rows and the texts that follow them."""
+    def signed(rows: list[tuple[int, str]], last: str) -> pa.RecordBatch:
+        """The results of consecutive rows, the last of which is followed by ``last``."""
         texts = [t for _, t in rows]
-        edited = [edit(a, b) for a, b in zip(texts, following)]
-        own, changed, after = (signatures(*_encode(x), anchor_hashes, chain) for x in (texts, edited, following))
-        return [
-            pa.array([i for i, _ in rows], pa.int64()),
+        edited = [edit(a, b) for a, b in zip(texts, [*texts[1:], last])]
+        n = len(rows)
+        sets, changed = signatures(*_encode([*texts, last]), anchor_hashes, chain), signatures(*_encode(edited), anchor_hashes, chain)
+        own, after = sets.rows(0, n), sets.rows(1, n + 1)
+        values = (
+            pa.array([None if i == _NULL_ID else i for i, _ in rows], pa.int64()),
             pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
             pa.array(serialise(own), pa.string()),
             pa.array(serialise(changed), pa.string()),
             pa.array(likeness(own, changed), pa.float64()),
             pa.array(likeness(own, after), pa.float64()),
-        ]
-
-    edge = ["part", "first_text", "last_text"]
+        )
+        return pa.RecordBatch.from_arrays(list(values), columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of a range, but for the last, and the texts at its ends."""
-        pending: list[tuple[int | None, str]] = []
-        held, head = 0, None
-
-        def done() -> pa.RecordBatch:
-            # all but the last, which the next block begins with
-            found = signed(pending[:-1], [t for _, t in pending[1:]])
-            n = len(pending) - 1
-            return pa.RecordBatch.from_arrays([*found, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], columns + edge)
-
+        # rows come sorted by slice, the extra row last in its slice
+        pending: list[tuple[int, str]] = []
+        held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text, extra in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 text = text.as_py()
-                head = text if head is None else head
-                pending.append((doc_id, text))
-                held += len(text)
-                if held > SLICE_BYTES:
-                    yield done()
-                    pending, held = pending[-1:], len(text)
-        if pending:
-            yield done()
-            doc_id, text = pending[-1]
-            rest = [pa.nulls(1, f.type) for f in signed([], [])]
-            values = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([head], pa.string()), pa.array([text], pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *rest[1:], *values], columns + edge)
-
-    def join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, following = (batch.column(i).to_pylist() for i in range(3))
-            yield pa.RecordBatch.from_arrays(signed(list(zip(ids, texts)), following), columns)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_column(docs).alias("text"))
-    # the last key splits an id's copies of one text, whose order makes no difference
-    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("nth"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("nth")]
-    n = ranges or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    found = common.materialize(ranged.mapInArrow(run, f"{schema}, part int, first_text string, last_text string"), "signed")
-    # two texts a range
-    ends, whole = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = F.coalesce(F.lead("first_text").over(ends), F.first("first_text").over(whole))
-    last = found.where("part IS NOT NULL").select("doc_id", F.col("last_text").alias("text"), following.alias("following"))
-    return found.where("part IS NULL").select(*columns).unionAll(last.mapInArrow(join_ends, schema))
+                if pending and (extra or held > SLICE_BYTES):
+                    yield signed(pending, text)
+                    pending, held = [], 0
+                if not extra:
+                    pending.append((doc_id, text))
+                    held += len(text)
+
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = with_next(docs, ranges).repartition(n, "slice").sortWithinPartitions("slice", "extra", "id", "digest")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return ordered.select("id", "text", "extra").mapInArrow(run, schema)
 
 
 def signature_sets(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> DataFrame:
