@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -63,7 +64,7 @@ def shared_folder(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     where = tempfile.mkdtemp(prefix="metaloom-")
     atexit.register(shutil.rmtree, where, ignore_errors=True)
@@ -81,7 +82,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     bound_batches(spark)
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_column(docs: DataFrame):

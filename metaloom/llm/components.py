@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
     before = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, materialize(_small_star(_large_star(edges)), "edges")
+        discard(old)
         state = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == before or state[0] == 0:
             break
