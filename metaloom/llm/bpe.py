@@ -4,12 +4,15 @@ Long texts are cut at *safe boundaries*, places where no match of the splitting
 pattern can begin before and end after, so that encoding the parts one by one
 gives exactly the ids of the whole:
 
-* before one ASCII space between two ASCII letters or digits (a letter or digit
-  run never takes in a following space, and the space starts the next match);
+* before one ASCII space between two letters or digits (a letter or digit run never
+  takes in a following space, and the space starts the next match);
+* between an ideograph, kana or Hangul letter and a full stop, comma or mark of those
+  scripts (a run of letters ends there, and no contraction begins);
 * between an ASCII letter and an ASCII digit, either way round (no alternative
   of the pattern holds both).
 
-A text without such a place stays whole.  Decoding joins raw bytes, so a
+Letters are those of Latin, Greek, Cyrillic, Han, kana and Hangul blocks that all
+versions of Unicode agree on.  A text without such a place stays whole.  Decoding joins raw bytes, so a
 character whose bytes are spread over several ids comes back intact.
 
 Defined results: a null text is the empty text (no ids, digest of no bytes);
@@ -36,7 +39,9 @@ from . import common
 #: Texts longer than this are encoded in parts of at least so many characters.
 PART_CHARS = 1 << 16
 
-SAFE = regex.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z0-9])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+_WIDE = "ぁ-ゖァ-ヺ一-龥가-힣"
+_LETTER = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ωЁА-яё" + _WIDE
+SAFE = regex.compile(rf"(?<=[{_LETTER}0-9])(?= [{_LETTER}0-9])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[{_WIDE}])(?=[、。！，？])")
 
 
 @lru_cache(maxsize=4)

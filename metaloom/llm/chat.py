@@ -13,13 +13,16 @@ conversations are made distinct before they are compared, so a first turn that a
 third of all logs share is one row.  The hash phase moves 32 bytes a turn; text
 moves once, to the block it is rendered in.
 
+A marker's beginning (``<|``) inside of a role or text is set apart by a space, so that no
+turn can forge another.
+
 A block is rendered in parts of at most ``PART_TURNS`` turns, numbered through the
 conversation; a conversation's parts, joined in order, are its text.
 
 Defined results: a null role or text is an empty one, a null turn comes first;
 repeated rows are turns of their own; a null conv_id is a conversation, and the
 smallest; an empty table gives no rows; other columns are ignored, whatever their
-names.
+names; a very long text is rendered whole, in one part.
 """
 
 from __future__ import annotations
@@ -101,7 +104,8 @@ def render(turns: DataFrame, kept: DataFrame, part_turns: int = PART_TURNS) -> D
     keyed = _keyed(turns)
     places = _sizes(keyed.select("cid", "block"), part_turns).join(kept, "cid").select("cid", "block", "parts_ahead", "n_turns", "n_collapsed")
     rows = keyed.join(places, ["cid", "block"]).withColumn("nth", _nth())
-    body = F.concat(F.lit(TURN_OPEN), F.col("role"), F.lit("\n"), F.col("text"), F.lit(TURN_CLOSE))
+    role, text = (F.replace(F.col(c), F.lit("<|"), F.lit("< |")) for c in ("role", "text"))
+    body = F.concat(F.lit(TURN_OPEN), role, F.lit("\n"), text, F.lit(TURN_CLOSE))
     part = F.col("parts_ahead") + F.floor((F.col("nth") - 1) / part_turns)
     each = rows.select("cid", "block", part.cast("int").alias("part"), "n_turns", "n_collapsed", F.struct("nth", body.alias("body")).alias("turn"))
     parts = each.groupBy("cid", "block", "part", "n_turns", "n_collapsed").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
@@ -131,7 +135,7 @@ maximal AS (
 ),
 parted AS (SELECT *, (dense_rank() OVER (PARTITION BY conv_id ORDER BY block, sub) - 1)::INT AS part FROM turns)
 SELECT m.conv_id, t.part, m.n AS n_turns, m.n_collapsed,
-       string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.pos) AS rendered
+       string_agg('<|im_start|>' || replace(t.role, '<|', '< |') || chr(10) || replace(t.text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY t.pos) AS rendered
 FROM maximal m JOIN parted t ON t.conv_id IS NOT DISTINCT FROM m.conv_id
 GROUP BY m.conv_id, t.part, m.n, m.n_collapsed
 """

@@ -402,7 +402,7 @@ def whole(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", "1", " ", "  ", "\n", "'", "'s", "'ll", "é", "漢", "!", "\t", "x9", "\U0001f600", "\xa0", "\x1c", "the", "<|endoftext|>"]), max_size=40).map("".join), st.integers(1, 8))
+@given(st.lists(st.sampled_from(["a", "1", " ", "  ", "\n", "'", "'s", "'ll", "é", "漢", "!", "\t", "x9", "\U0001f600", "\xa0", "\x1c", "the", "я", "ёж", "漢字", "かな", "。", "、", "한글", "λ", "<|endoftext|>"]), max_size=40).map("".join), st.integers(1, 8))
 def test_parts_encode_as_the_whole(text, size):
     enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     ids = bpe.encode_text(enc, text, size)
@@ -410,6 +410,13 @@ def test_parts_encode_as_the_whole(text, size):
     assert "".join(bpe.safe_parts(text, size)) == text
 
 
+@pytest.mark.parametrize("word", ["слово", "漢字。", "とても、", "λόγος", "한글", "word"])
+def test_long_texts_of_all_scripts_are_cut(word):
+    text = (word + " ") * 5000 if word[-1] not in "。、" else word * 5000
+    parts = list(bpe.safe_parts(text, 1000))
+    assert len(parts) > 5 and "".join(parts) == text and [i for p in parts for i in whole(p)] == whole(text)
+
+
 def test_op7(spark):
     got = bpe.op7_byte_bpe(spark, SF).toPandas().set_index("doc_id")
     docs = pd.read_parquet(f"{SF}/documents.parquet")
