@@ -39,17 +39,24 @@ class Run:
 
 
 def prepare(spark: SparkSession, paths: list[str], cwd: str = ".", config: str | bool | None = None, ext: list[str] | None = None, as_format: str | None = None, exclude: list[str] | None = None, gitignore: bool | None = None, allow_empty: bool | None = None, stdin: str | None = None) -> Run:
-    """Configuration, files and documents; typed paths are relative to ``cwd``, the configuration's to its folder."""
+    """Configuration, files and documents; typed paths are relative to ``cwd``, the configuration's to its folder.
+
+    A path with a scheme (``hdfs://``, ``s3a://``, ``file://``) is a folder that Spark lists
+    and reads, never the driver.
+    """
     settings = C.load(cwd, config)
-    inputs = [p for p in (paths or settings.paths) if p != "-"]
+    remote = [p for p in (paths or settings.paths) if "://" in p]
+    inputs = [p for p in (paths or settings.paths) if p != "-" and p not in remote]
     base = cwd if paths else settings.folder
     obey, _ = files.respect_gitignore(gitignore, settings.respect_gitignore)
     lax = settings.allow_empty if allow_empty is None else allow_empty
     if "-" in paths and as_format is None:
         raise files.InputError("standard input needs a format")
     wanted = ext or (list(EXTRACTORS[as_format].extensions) if as_format else list(by_extension()))
-    targets = files.find(inputs, wanted, base, [*settings.exclude, *(exclude or [])], obey, bool(lax) or stdin is not None) if inputs or stdin is None else files.Targets()
+    targets = files.find(inputs, wanted, base, [*settings.exclude, *(exclude or [])], obey, bool(lax) or stdin is not None) if inputs or (stdin is None and not remote) else files.Targets()
     documents = files.read(spark, targets, base)
+    for folder in remote:
+        documents = documents.unionByName(files.read_folder(spark, folder, wanted, [*settings.exclude, *(exclude or [])]))
     if stdin is not None:
         documents = files.standard_input(spark, stdin).union(documents)
     return Run(spark, cwd, settings, base, targets, documents, as_format)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 from dataclasses import dataclass, field
 
@@ -60,8 +61,6 @@ def git_ignored(labels: list[str], base: str) -> set[str] | None:
 
 def find(inputs: list[str], ext: list[str], base: str = ".", exclude: list[str] = (), gitignore: bool = True, allow_empty: bool = False) -> Targets:
     """Named files stay whatever their extension or the ignore rules; walks and globs obey both."""
-    import re
-
     ignore = [re.compile(glob_regex(g)) for g in (*IGNORED, *exclude)]
     wanted = _extensions(ext)
     out, missing = Targets(), []
@@ -135,7 +134,7 @@ def read_folder(spark: SparkSession, path: str, ext: list[str], exclude: list[st
     """
     rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     label = F.regexp_replace(F.try_url_decode(F.col("path")), r"^file:/*", "/")
-    root = (path if "://" in path else os.path.abspath(path)).rstrip("/") + "/"
+    root = re.sub(r"^file:/*", "/", path if "://" in path else os.path.abspath(path)).rstrip("/") + "/"
     below = F.when(label.startswith(root), F.substr(label, F.lit(len(root) + 1))).otherwise(label)
     keep = F.lit(False)
     for e in _extensions(ext):

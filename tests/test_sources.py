@@ -150,3 +150,14 @@ def test_baseline_files(tmp_path, spark):
 def test_baseline_bases(tmp_path):
     base = B.Base(str(tmp_path), str(tmp_path / "docs"), str(tmp_path / "docs"))
     assert base.file("legacy.md") == "docs/legacy.md" and base.schema("../s.json") == "s.json" and base.schema("google:okf:0.1") == "google:okf:0.1"
+
+
+def test_folders_with_a_scheme_are_listed_by_spark(spark, tmp_path, capsys):
+    from metaloom.cli import main
+
+    for name, text in (("a.md", "---\ntitle: A\n---\n"), ("sub/b.md", "---\ntitle: B\n---\n"), ("c.txt", "no"), ("node_modules/d.md", "no")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert main(["get", "--fields", "title", f"file://{tmp_path}", "-f", "json"], spark, str(tmp_path)) == 0
+    out = capsys.readouterr().out
+    assert '"title":"A"' in out and '"title":"B"' in out and len(out.splitlines()) == 2
