@@ -78,7 +78,8 @@ def unreadable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that can't be read, counted by format and kind of error."""
     docs = R.table(spark, sf_dir, "documents")
     bad = F.col("doc_id") % 3
-    content = F.when(bad == 0, F.lit('---\na: "open\n---\n')).when(bad == 1, F.lit("+++\na = = 1\n+++\n")).otherwise(F.lit(";;;\n[1]\n;;;\n"))
+    n, text = F.char_length(F.coalesce("text", F.lit(""))).cast("string"), F.coalesce("text", F.lit(""))
+    content = F.when(bad == 0, F.concat(F.lit('---\nn: ['), n, F.lit("\n---\n"), text)).when(bad == 1, F.concat(F.lit("+++\nn = = "), n, F.lit("\n+++\n"), text)).otherwise(F.concat(F.lit(";;;\n["), n, F.lit("]\n;;;\n"), text))
     found = X.extract(docs.select(_file("doc_id", ".md"), content.alias("content")))
     return found.groupBy("format", F.regexp_extract("error", r"^(Invalid \w+ frontmatter)", 1).alias("kind")).agg(F.count("*").alias("n"))
 
