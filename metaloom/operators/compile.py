@@ -9,6 +9,7 @@ evaluator instead, whose violations are the same.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column
@@ -59,8 +60,51 @@ def _none() -> Column:
     return F.array().cast(f"array<{VIOLATION}>")
 
 
-def _when(bad: Column, error: Column) -> Column:
-    return F.when(F.coalesce(bad, F.lit(False)), F.array(error)).otherwise(_none())
+@dataclass
+class _One:
+    """One violation, if ``bad`` holds."""
+
+    bad: Column
+    error: Column
+
+
+@dataclass
+class _Many:
+    """An array of violations; never null."""
+
+    errors: Column
+
+
+Found = list[_One | _Many]
+
+
+def _guarded(found: Found, holds: Column) -> Found:
+    """The violations that count only where ``holds``, which is never null."""
+    return [_One(holds & x.bad, x.error) if isinstance(x, _One) else _Many(F.when(holds, x.errors).otherwise(_none())) for x in found]
+
+
+def _array(found: Found) -> Column:
+    """All violations in order; neighbours that may hold are one array, so that the expression stays small."""
+    parts: list[Column] = []
+    row: list[Column] = []
+    for x in [*found, None]:
+        if isinstance(x, _One):
+            row.append(F.when(x.bad, x.error))
+            continue
+        if row:
+            parts.append(F.array_compact(F.array(*row)))
+            row = []
+        if x is not None:
+            parts.append(x.errors)
+    return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else _none()
+
+
+def _fails(found: Found) -> Column:
+    """Whether there is any violation."""
+    out = F.lit(False)
+    for x in found:
+        out = out | (F.coalesce(x.bad, F.lit(False)) if isinstance(x, _One) else F.size(x.errors) > 0)
+    return out
 
 
 class _Value:
@@ -95,19 +139,20 @@ class _Value:
         return self.is_number & (self.number == float(constant))
 
 
-def _errors(variant: Column, schema: Any, path: Column) -> Column:
+def _errors(variant: Column, schema: Any, path: Column) -> Found:
     """Violations of a present value, in the evaluator's order."""
     if schema is True:
-        return _none()
+        return []
     if schema is False:
-        return F.array(_error(path, "false schema", "boolean schema is false"))
-    x, parts = _Value(variant), []
+        return [_One(F.lit(True), _error(path, "false schema", "boolean schema is false"))]
+    x = _Value(variant)
+    parts: Found = []
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         good = F.lit(False)
         for n in names:
             good = good | F.coalesce(x.is_type(n), F.lit(False))
-        parts.append(_when(~good, _error(path, "type", f"must be {','.join(names)}", ",".join(names))))
+        parts.append(_One(~good, _error(path, "type", f"must be {','.join(names)}", ",".join(names))))
     if "enum" in schema:
         good = F.lit(False)
         strings = [c for c in schema["enum"] if isinstance(c, str)]
@@ -116,59 +161,57 @@ def _errors(variant: Column, schema: Any, path: Column) -> Column:
         for c in schema["enum"]:
             if not isinstance(c, str):
                 good = good | F.coalesce(x.equals(c), F.lit(False))
-        parts.append(_when(~good, _error(path, "enum", "must be equal to one of the allowed values")))
+        parts.append(_One(~good, _error(path, "enum", "must be equal to one of the allowed values")))
     if "const" in schema:
-        parts.append(_when(~F.coalesce(x.equals(schema["const"]), F.lit(False)), _error(path, "const", "must be equal to constant")))
+        parts.append(_One(~F.coalesce(x.equals(schema["const"]), F.lit(False)), _error(path, "const", "must be equal to constant")))
     for key, size, noun in (("Length", F.char_length(x.text), "characters"), ("Items", F.size(x.items), "items"), ("Properties", F.size(x.keys), "properties")):
         held = {"Length": x.is_string, "Items": x.is_array, "Properties": x.is_object}[key]
         for edge, more in (("max", "more"), ("min", "fewer")):
             if f"{edge}{key}" in schema:
                 limit = schema[f"{edge}{key}"]
                 bad = held & ((size > limit) if edge == "max" else (size < limit))
-                parts.append(_when(bad, _error(path, f"{edge}{key}", f"must NOT have {more} than {limit} {noun}")))
+                parts.append(_One(bad, _error(path, f"{edge}{key}", f"must NOT have {more} than {limit} {noun}")))
     if "pattern" in schema:
-        parts.append(_when(~x.text.rlike(schema["pattern"]), _error(path, "pattern", f'must match pattern "{schema["pattern"]}"')))
+        parts.append(_One(~x.text.rlike(schema["pattern"]), _error(path, "pattern", f'must match pattern "{schema["pattern"]}"')))
     if "format" in schema:
         name = schema["format"]
-        parts.append(_when(~x.text.rlike(FORMATS[name]), _error(path, "format", f'must match format "{name}"', name)))
+        parts.append(_One(~x.text.rlike(FORMATS[name]), _error(path, "format", f'must match format "{name}"', name)))
     for key, sign, bad in (("maximum", "<=", "__gt__"), ("minimum", ">=", "__lt__"), ("exclusiveMaximum", "<", "__ge__"), ("exclusiveMinimum", ">", "__le__")):
         if key in schema:
-            parts.append(_when(getattr(x.number, bad)(float(schema[key])), _error(path, key, f"must be {sign} {number_text(schema[key])}")))
+            parts.append(_One(getattr(x.number, bad)(float(schema[key])), _error(path, key, f"must be {sign} {number_text(schema[key])}")))
     for key in schema.get("required", []):
-        parts.append(_when(x.is_object & ~F.array_contains(x.keys, key), _error(path, "required", f"must have required property '{key}'", key)))
+        parts.append(_One(x.is_object & ~F.array_contains(x.keys, key), _error(path, "required", f"must have required property '{key}'", key)))
     for key, rule in schema.get("properties", {}).items():
         quoted = key.replace("\\", "\\\\").replace("'", "\\'")
         child = F.try_variant_get(variant, f"$['{quoted}']", "variant")
         found = _errors(child, rule, F.concat(path, F.lit(f"/{escape(key)}")))
-        parts.append(F.when(F.coalesce(x.is_object & F.array_contains(x.keys, key), F.lit(False)), found).otherwise(_none()))
+        parts += _guarded(found, child.isNotNull())
     if schema.get("additionalProperties") is False:
         extra = F.array_except(x.keys, F.array(*[F.lit(k) for k in schema.get("properties", {})]) if schema.get("properties") else F.array().cast("array<string>"))
         each = F.transform(extra, lambda k: _error(path, "additionalProperties", F.concat(F.lit("must NOT have additional property '"), k, F.lit("'")), k))
-        parts.append(F.coalesce(each, _none()))
+        parts.append(_Many(F.coalesce(each, _none())))
     if "items" in schema:
-        each = F.transform(x.items, lambda item, i: _errors(item, schema["items"], F.concat(path, F.lit("/"), i.cast("string"))))
-        parts.append(F.coalesce(F.flatten(each), _none()))
-    parts += [_errors(variant, part, path) for part in schema.get("allOf", [])]
+        each = F.transform(x.items, lambda item, i: _array(_errors(item, schema["items"], F.concat(path, F.lit("/"), i.cast("string")))))
+        parts.append(_Many(F.coalesce(F.flatten(each), _none())))
+    for part in schema.get("allOf", []):
+        parts += _errors(variant, part, path)
     if "anyOf" in schema:
         branches = [_errors(variant, part, path) for part in schema["anyOf"]]
-        passing = F.lit(False)
+        none = F.lit(True)
         for b in branches:
-            passing = passing | (F.size(b) == 0)
-        own = F.array(_error(path, "anyOf", "must match a schema in anyOf"))
-        parts.append(F.when(passing, _none()).otherwise(F.concat(*branches, own)))
+            none = none & _fails(b)
+        own = _One(F.lit(True), _error(path, "anyOf", "must match a schema in anyOf"))
+        parts += _guarded([*(x for b in branches for x in b), own], none)
     if "not" in schema:
-        parts.append(_when(F.size(_errors(variant, schema["not"], path)) == 0, _error(path, "not", "must NOT be valid")))
+        parts.append(_One(~_fails(_errors(variant, schema["not"], path)), _error(path, "not", "must NOT be valid")))
     if "if" in schema and ("then" in schema or "else" in schema):
-        holds = F.size(_errors(variant, schema["if"], path)) == 0
-        sides = []
-        for branch in ("then", "else"):
+        holds = ~_fails(_errors(variant, schema["if"], path))
+        for branch, taken in (("then", holds), ("else", ~holds)):
             found = _errors(variant, schema.get(branch, True), path)
-            own = F.array(_error(path, "if", f'must match "{branch}" schema'))
-            sides.append(F.when(F.size(found) == 0, _none()).otherwise(F.concat(found, own)))
-        parts.append(F.when(holds, sides[0]).otherwise(sides[1]))
-    return F.concat(*parts) if parts else _none()
+            parts += _guarded([*found, _One(_fails(found), _error(path, "if", f'must match "{branch}" schema'))], taken)
+    return parts
 
 
 def compile_contract(schema: Any, variant: Column) -> Column | None:
     """An array of violations of a VARIANT column; None if the contract needs the evaluator."""
-    return _errors(variant, schema, F.lit("")) if supported(schema) else None
+    return _array(_errors(variant, schema, F.lit(""))) if supported(schema) else None
