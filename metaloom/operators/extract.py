@@ -22,6 +22,16 @@ SCHEMA = "format string, present boolean, data_json string, lines map<string,int
 #: Whether front matter in JSON opens a text, and what stands in it: the part that stays in the JVM.
 JSON_FENCE = r"^\uFEFF?;;;\r?\n([\s\S]*?)\r?\n?;;;[ \t]*(?:\r?\n|$)"
 
+#: Rows of which a worker holds the objects at once; Arrow batches are larger.
+SLICE = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``SLICE`` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
 
 def extension(file: Column) -> Column:
     """The lower-cased extension with its dot, or an empty string."""
@@ -47,24 +57,33 @@ def extract_text(content: str, name: str, file: str | None, extractors: dict[str
     return {"format": name, "present": found.present, "data_json": dump(found.data, moments=True), "lines": found.lines, "cols": found.cols, "error": None}
 
 
+def extract_row(file: str, content: str, name: str | None, extractors: dict[str, Extractor] | None = None) -> dict:
+    """``extract_text``, or an error if no format is known."""
+    if name is None:
+        return {"format": None, "present": False, "data_json": "{}", "lines": {}, "cols": {}, "error": f"no extractor for {file}"}
+    return extract_text(content, name, file, extractors)
+
+
+def inputs(documents: DataFrame, forced: str | None, extractors: dict[str, Extractor] | None, keep: tuple[str, ...]) -> DataFrame:
+    """file, text, the format it is read as, and the columns of ``keep``."""
+    return documents.select("file", F.coalesce("content", F.lit("")).alias("_text"), format_of(F.col("file"), forced, extractors).alias("_as"), *keep)
+
+
 def extract(documents: DataFrame, forced: str | None = None, extractors: dict[str, Extractor] | None = None, on_error: str = "column", keep: tuple[str, ...] = ()) -> DataFrame:
     """file, the columns of ``SCHEMA`` and those of ``keep``.
 
     ``on_error`` "column" puts a block that can't be read, or an unknown format, in
     ``error``; "raise" ends the run with it.
     """
-    rows = documents.select("file", F.coalesce("content", F.lit("")).alias("_text"), format_of(F.col("file"), forced, extractors).alias("_as"), *keep)
+    rows = inputs(documents, forced, extractors, keep)
     names = ("format", "present", "data_json", "lines", "cols", "error")
     kinds = (pa.string(), pa.bool_(), pa.string(), pa.map_(pa.string(), pa.int32()), pa.map_(pa.string(), pa.int32()), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found: dict[str, list] = {n: [] for n in names}
             for file, content, name in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if name is None:
-                    row = {"format": None, "present": False, "data_json": "{}", "lines": {}, "cols": {}, "error": f"no extractor for {file}"}
-                else:
-                    row = extract_text(content, name, file, extractors)
+                row = extract_row(file, content, name, extractors)
                 if row["error"] is not None and on_error == "raise":
                     raise ValueError(f"{file}: {row['error']}")
                 for n in names:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.operators import extract as X
 from metaloom.operators import infer as I
 
 from . import rendering as R
@@ -24,7 +23,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, scanned = _labelled(spark, sf_dir)
-    found = I.occurrences(X.extract(rows, keep=("file_ord",)))
+    found = I.occurrences_of_documents(rows)
     out = I.profile(found, scanned)
     types = F.array_join(F.transform("types", lambda t: F.concat(t["type"], F.lit(":"), t["n"].cast("string"))), ",")
     return out.select("key", "present", F.round("coverage", 6).alias("coverage"), types.alias("types"), "type", "distinct", "capped", F.concat_ws(",", F.coalesce("enum", F.array().cast("array<string>"))).alias("enum"))
@@ -41,7 +40,7 @@ def event_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outlier_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _labelled(spark, sf_dir)
-    return I.outliers(I.occurrences(X.extract(rows, keep=("file_ord",)))).select("key", "type", "file", "value", F.col("nth").cast("int").alias("nth"))
+    return I.outliers(I.occurrences_of_documents(rows)).select("key", "type", "file", "value", F.col("nth").cast("int").alias("nth"))
 
 
 QUERIES = {"infer_profile": profile, "infer_profile_columns": event_profile, "infer_outliers": outlier_values}

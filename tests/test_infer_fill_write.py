@@ -31,6 +31,32 @@ def test_coverage_and_outliers(spark):
     assert list(draft["properties"]) == sorted(draft["properties"]) and "required" not in draft and draft["properties"]["title"] == {"type": "string", "minLength": 1}
 
 
+def test_occurrences_of_documents_in_one_worker(spark):
+    texts = ["---\na: 1.0\nb: [x, {c: ~}]\nd: .nan\n---\n", '+++\nday = 2024-05-01\nt = "é"\n+++\n', "---\na: [\n---\n", "bare", None, "---\n---\n", ";;;\n{}\n;;;\n"]
+    rows = [(f"{i}.{'md' if i % 5 else 'mdx'}", texts[i % len(texts)], i) for i in range(3 * X.SLICE)] + [("x.bin", texts[0], -1)]
+    documents = spark.createDataFrame(rows, "file string, content string, file_ord long").coalesce(1)
+    one, two = I.occurrences_of_documents(documents), I.occurrences(X.extract(documents, keep=("file_ord",)))
+    assert one.schema == two.schema and sorted(one.collect()) == sorted(two.collect())
+    assert {(r["key"], r["type"], r["value"]) for r in one.collect()} == {("a", "number", "1"), ("b", "array", '["x",{"c":null}]'), ("d", "null", "null"), ("day", "string", '"2024-05-01"'), ("t", "string", '"é"')}
+    assert [r["file_ord"] for r in one.where("key = 't'").collect()] == [i for i in range(len(rows) - 1) if i % len(texts) == 1]
+
+
+@pytest.mark.parametrize("query", ["infer_profile", "infer_outliers"])
+def test_inference_has_one_python_step(spark, query):
+    from metaloom.plans import profiling
+
+    plan = profiling.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_slices_hold_few_rows():
+    import pyarrow as pa
+
+    batch = pa.record_batch({"n": list(range(2 * X.SLICE + 1))})
+    pieces = list(X.slices(iter([batch, batch.slice(0, 0)])))
+    assert [p.num_rows for p in pieces] == [X.SLICE, X.SLICE, 1] and pa.Table.from_batches(pieces).column("n").to_pylist() == list(range(2 * X.SLICE + 1))
+
+
 @pytest.mark.parametrize(("distinct", "total", "enum"), [(7, 140, True), (30, 30, False), (7, 10, False), (5, 99, False), (5, 100, True), (21, 600, False)])
 def test_enum_thresholds(spark, distinct, total, enum):
     _, got = profile(spark, [{"k": f"v{i % distinct}"} for i in range(total)])
